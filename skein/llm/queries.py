@@ -9,19 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from .quality import classify
 from .simhash import near_duplicates
 from .store import table
+from . import winnowing
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op10_quality": op10_quality}
+    return {"op1_simhash": op1_simhash, "op4_winnowing": op4_winnowing, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_winnowing": winnowing.oracle()}

@@ -33,6 +33,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Files of at most so many bytes are broadcast; larger tables are shuffled.
+BROADCAST_BYTES = 8 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A settled table, marked for broadcast if its files are at most BROADCAST_BYTES together."""
+    paths = {p.rpartition("/")[0] for p in df.inputFiles()}
+    return F.broadcast(df) if sum(_bytes(df.sparkSession, p) for p in paths) <= BROADCAST_BYTES else df
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a settled table that no later plan reads."""
     for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
@@ -40,6 +50,11 @@ def release(df: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def _bytes(spark: SparkSession, path: str) -> int:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
