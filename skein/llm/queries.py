@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import debruijn, repeats, winnowing
 from .quality import classify
 from .simhash import near_duplicates
 from .store import table
-from . import winnowing
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -25,8 +29,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op4_winnowing": op4_winnowing, "op10_quality": op10_quality}
+    return {"op1_simhash": op1_simhash, "op3_debruijn": op3_debruijn, "op4_winnowing": op4_winnowing, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_winnowing": winnowing.oracle()}
+    return {"op3_debruijn": repeats.oracle(50), "op4_winnowing": winnowing.oracle()}
