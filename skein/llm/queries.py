@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, repeats, winnowing
+from . import debruijn, packing, repeats, winnowing
 from .quality import classify
 from .simhash import near_duplicates
 from .store import table
@@ -24,12 +24,16 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_debruijn": op3_debruijn, "op4_winnowing": op4_winnowing, "op10_quality": op10_quality}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
