@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, langid, packing, repeats, suffixes, winnowing
+from . import debruijn, langid, packing, repeats, suffixes, topk, winnowing
 from .quality import classify
 from .simhash import near_duplicates
 from .store import table
@@ -36,6 +36,10 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,4 +49,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_debruijn": repeats.oracle(50), "op8_suffixes": repeats.oracle(50), "op4_winnowing": winnowing.oracle()}
+    return {"op3_debruijn": repeats.oracle(50), "op8_suffixes": repeats.oracle(50), "op4_winnowing": winnowing.oracle(), "op9_topk": topk.oracle()}
