@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, langid, packing, repeats, suffixes, topk, winnowing
+from . import debruijn, langid, links, packing, repeats, suffixes, topk, winnowing, wrappers
 from .quality import classify
 from .simhash import near_duplicates
 from .store import table
@@ -16,6 +16,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -49,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_debruijn": repeats.oracle(50), "op8_suffixes": repeats.oracle(50), "op4_winnowing": winnowing.oracle(), "op9_topk": topk.oracle()}
+    return {"op3_debruijn": repeats.oracle(50), "op7_links": links.oracle(), "op8_suffixes": repeats.oracle(50), "op4_winnowing": winnowing.oracle(), "op9_topk": topk.oracle()}
