@@ -24,11 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return said
 
 
+#: With it, the shuffle files of a query are deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Nothing reads the shuffle files of the write again, so they are deleted at its end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/skein-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _KEPT.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .repeats import GRAM, marks, spans
-from .store import corpus, small
+from .store import corpus, settle
 from .text import Words, _classify, buffer, gram_hash, gram_sums, grams, signed, slide, slices, winnow, words
 
 
@@ -77,7 +77,7 @@ def stretches(texts: DataFrame, marked: DataFrame, least: int) -> DataFrame:
                     ["h", "doc_id", "at", "s", "words"],
                 )
 
-    return texts.join(small(marked), "doc_id").mapInArrow(run, "h bigint, doc_id bigint, at int, s int, words string")
+    return texts.join(marked, "doc_id").mapInArrow(run, "h bigint, doc_id bigint, at int, s int, words string")
 
 
 class Suffixes:
@@ -222,4 +222,4 @@ def repeated_spans(docs: DataFrame, least: int = 50) -> DataFrame:
             yield pieces(pa.Table.from_batches(held), least)
 
     spread = stretches(texts, marks(texts, least), least).repartition("h").sortWithinPartitions("h")
-    return spans(spread.mapInArrow(run, "doc_id bigint, s int, e int, is_first boolean"))
+    return spans(settle(spread.mapInArrow(run, "doc_id bigint, s int, e int, is_first boolean")))
