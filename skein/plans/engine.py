@@ -89,7 +89,7 @@ class Engine:
         documents = found.collect()
         answer = Answer(tokens, documents, round(1000 * (time.perf_counter() - start)))
         self._answers[query] = answer
-        if len(self._answers) > CACHED:
+        while len(self._answers) > CACHED:
             self._answers.popitem(last=False)
         return answer
 
