@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .repeats import candidates, cut, marks, spans
-from .store import corpus, settle, small
+from .store import corpus, settle
 from .text import _classify, buffer, gram_hash, gram_sums, mix, signed, slices, words
 
 
@@ -46,7 +46,7 @@ def visits(texts: DataFrame, marked: DataFrame, k: int) -> DataFrame:
                         ["v", "before", "after", "doc_id", "pos"],
                     )
 
-    return texts.join(small(marked), "doc_id").mapInArrow(run, "v bigint, before bigint, after bigint, doc_id bigint, pos int")
+    return texts.join(marked, "doc_id").mapInArrow(run, "v bigint, before bigint, after bigint, doc_id bigint, pos int")
 
 
 def unitig_visits(nodes: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def verified(texts: DataFrame, passages: DataFrame, k: int) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["doc_id", "pos", "edges", "first_doc", "first_pos", "digest"])
 
-    seen = settle(texts.join(small(listed), "doc_id").mapInArrow(run, "doc_id bigint, pos int, edges int, first_doc bigint, first_pos int, digest binary").distinct())
+    seen = settle(texts.join(listed, "doc_id").mapInArrow(run, "doc_id bigint, pos int, edges int, first_doc bigint, first_pos int, digest binary").distinct())
     path = seen.where("doc_id = first_doc and pos = first_pos").select("first_doc", "first_pos", "edges", "digest")
     return seen.join(path, ["first_doc", "first_pos", "edges", "digest"], "left_semi").select(
         "doc_id", F.col("pos").alias("s"), (F.col("pos") + F.col("edges") + F.lit(k - 1)).alias("e"),
