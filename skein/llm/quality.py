@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, features: int =
     return Model(select, mean, scale, weights, {h: float(np.log(y.mean() / (1 - y.mean()))) for h, y in ys.items()})
 
 
-def _evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def _evidence(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFrame:
     """The columns keep of docs with host, path and the evidence of each head."""
     names = [f"__{h}" for h in HEADS]
 
@@ -227,8 +227,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows:
     model = fit(docs, labels, rows)
     rates = settle(posteriors(_evidence(docs, model, []), model))
     return (
-        _evidence(docs, model, docs.columns)
+        _evidence(docs, model, [F.struct(*docs.columns).alias("__row")])  # as one column, whose fields clash with none
         .join(rates, ["__host", "__path"])
         .where((_posterior("poor") <= threshold) & (_posterior("toxic") <= threshold))
-        .select(*docs.columns)
+        .select("__row.*")
     )

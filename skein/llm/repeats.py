@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import settle, small
+from .store import settle
 from .text import WORD_RE, buffer, signed, slices, winnow, words
 
 GRAM = 20
@@ -101,13 +101,14 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     A document that loses its last word goes; one without a removed span stays as it is, as do rows without doc_id.
     """
-    gone = settle(found.where("removed").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("__gone")))
     names = docs.columns
+    mark = "__gone" + "_" * max(map(len, names))  # no column of docs
+    gone = settle(found.where("removed").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias(mark)))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                col, marks_ = part.column("text"), part.column("__gone")
+                col, marks_ = part.column("text"), part.column(mark)
                 w, (raw, off) = words(col), buffer(col)
                 keep, text, length = np.ones(part.num_rows, bool), {}, {}
                 for i in np.flatnonzero(marks_.is_valid().to_numpy(zero_copy_only=False)):
@@ -128,7 +129,7 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
                         part = part.set_column(at, field, pc.replace_with_mask(part.column(name), pa.array(mask), values))
                 yield part.filter(pa.array(keep))
 
-    return docs.join(small(gone), "doc_id", "left").select(*names, "__gone").mapInArrow(run, docs.schema)
+    return docs.join(gone, "doc_id", "left").select(*names, mark).mapInArrow(run, docs.schema)
 
 
 def oracle(least: int) -> str:
