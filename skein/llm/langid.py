@@ -25,7 +25,7 @@ def _grams(texts: pa.Array):
     m, b = _classify(raw)
     b = np.where(m, b, 0).astype(np.uint32)
     code = np.empty(len(b), np.uint32)
-    code[:2] = b[:2]
+    code[:2] = b[:2] << 16
     code[2:] = (b[2:] << 16) | (b[1:-1] << 8) | np.where(b[1:-1] > 0, b[:-2], 0)
     code[1:2] |= b[:1] << 8
     size = w.end - w.start
@@ -44,14 +44,14 @@ class Model:
 
     def __init__(self, langs: list[str], counts: np.ndarray):
         rate = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * counts.shape[1])
-        rate = (1 - FLOOR) * rate + FLOOR * rate.mean(0)
+        rate = (1 - FLOOR) * rate + FLOOR * rate.sum(0) / max(len(langs), 1)
         self.langs, self.log = langs, np.ascontiguousarray(np.log(rate).T.astype(np.float32))
 
     def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Likelihoods (words, languages) of a batch's words, the largest of each word being 1, and each text's first word."""
         w, code, first = _grams(texts)
-        if not len(w):
-            return np.zeros((0, len(self.langs)), np.float32), w.first
+        if not len(w) or not self.langs:
+            return np.zeros((len(w), len(self.langs)), np.float32), w.first
         out = np.add.reduceat(self.log[code], first[:-1], axis=0)
         return np.exp(np.maximum(out - out.max(1, keepdims=True), -25)), w.first
 

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import settle
-from .text import Words, buffer, slices, words
+from .text import Words, _classify, buffer, mix, slices, words
 
 HEADS = ("poor", "toxic")
 BUCKETS = 1 << 18
+PREFIXES = (5, 7)
 SIGNS = ("!", "|", "#$%&*+<=>@\\^_`{}~", "0123456789")
 
 
@@ -47,7 +48,24 @@ def style(texts: pa.Array, w: Words) -> np.ndarray:
     )
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+def word_buckets(texts: pa.Array, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bucket) of each word, and of the first PREFIXES bytes of each longer one."""
+    raw, _ = buffer(texts)
+    _, folded = _classify(raw)
+    docs, found = [w.doc()], [w.hash & np.uint64(BUCKETS - 1)]
+    size = w.end - w.start
+    value = np.zeros(len(w), np.uint64)
+    for i in range(max(PREFIXES)):
+        at = np.minimum(w.start + i, len(folded) - 1)
+        value |= np.where(i < size, folded[at] if len(folded) else np.uint8(0), 0).astype(np.uint64) << np.uint64(8 * i)
+        if i + 1 in PREFIXES:
+            longer = np.flatnonzero(size > i + 1)
+            docs.append(docs[0][longer])
+            found.append(mix(value[longer], i + 1) & np.uint64(BUCKETS - 1))
+    return np.concatenate(docs), np.concatenate(found).astype(np.int64)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 30) -> np.ndarray:
     """Weights (intercept last) of a ridge logistic regression by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -62,7 +80,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 
 
 class Model:
-    """Two logistic regressions over style features and the presence of selected words."""
+    """Two logistic regressions over style features and the presence of selected words and beginnings of words."""
 
     def __init__(self, select: np.ndarray, mean: np.ndarray, scale: np.ndarray, weights: dict[str, np.ndarray], base: dict[str, float]):
         self.select, self.mean, self.scale, self.weights, self.base = select, mean, scale, weights, base
@@ -72,9 +90,10 @@ class Model:
         w = words(texts)
         n, k = len(w.first) - 1, int(self.select.max()) + 1
         x = (style(texts, w) - self.mean) / self.scale
-        feature = self.select[(w.hash & np.uint64(BUCKETS - 1)).astype(np.int64)]
+        doc, bucket = word_buckets(texts, w)
+        feature = self.select[bucket]
         at = np.flatnonzero(feature >= 0)
-        pair = np.unique(w.doc()[at].astype(np.int64) * k + feature[at]) if k else np.zeros(0, np.int64)
+        pair = np.unique(doc[at].astype(np.int64) * k + feature[at]) if k else np.zeros(0, np.int64)
         out = np.zeros((n, len(HEADS)))
         for i, head in enumerate(HEADS):
             if (b := self.weights.get(head)) is not None:
@@ -86,10 +105,10 @@ class Model:
         return np.clip(out, -30, 30)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, features: int = 400, least: int = 10) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000, features: int = 400, least: int = 3) -> Model:
     """Fit the classifier on a sample of at most `rows` labelled documents, the ones whose ids hash lowest.
 
-    The bound makes what reaches the driver a fixed size. Words enter by the z-score of their document frequency between
+    The bound makes what reaches the driver a fixed size. Words and their first 5 and 7 bytes enter by the z-score of their document frequency between
     the classes, at least `least` documents and a z of 5, at most `features` a head. A head of which the sample has fewer than
     5 documents of either class gives no evidence.
     """
@@ -107,7 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, features: int =
             for part in slices(batch):
                 w = words(part.column("text"))
                 n = part.num_rows
-                key = np.unique((w.doc().astype(np.int64) << 18) | (w.hash & np.uint64(BUCKETS - 1)).astype(np.int64))
+                doc, bucket = word_buckets(part.column("text"), w)
+                key = np.unique((doc.astype(np.int64) << 18) | bucket)
                 first = np.searchsorted(key >> 18, np.arange(n + 1)).astype(np.int32)
                 s = style(part.column("text"), w)
                 yield pa.RecordBatch.from_arrays(
@@ -204,7 +224,7 @@ def _posterior(head: str) -> Column:
     return 1 / (1 + F.exp(-(F.col(f"__{head}") + F.log(rate / (1 - rate)))))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = 12_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, rows: int = 8_000) -> DataFrame:
     """(doc_id, host, path, poor, toxic, keep) for every row of documents.
 
     Evidence of the document classifier (see fit) is combined with the rate of the document's path, which is shrunk to
@@ -222,7 +242,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: i
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = 12_000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, rows: int = 8_000) -> DataFrame:
     """The rows of docs that classify() keeps, with all their columns. The text is scored twice and never shuffled."""
     model = fit(docs, labels, rows)
     rates = settle(posteriors(_evidence(docs, model, []), model))

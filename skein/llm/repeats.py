@@ -46,7 +46,7 @@ def marks(texts: DataFrame, least: int) -> DataFrame:
 def candidates(at: np.ndarray, n: int, least: int) -> np.ndarray:
     """Starts of the runs of `least` words, of a document of n words, that hold a marked gram."""
     k = min(GRAM, max(1, least // 2))
-    edge = np.zeros(n + 2, np.int32)
+    edge, at = np.zeros(n + 2, np.int32), at[at <= n - k]  # places of another text under this doc_id may lie beyond
     np.add.at(edge, np.maximum(at - (least - k), 0), 1)
     np.add.at(edge, at + 1, -1)
     return np.flatnonzero(np.cumsum(edge)[: max(0, n - least + 1)] > 0)
