@@ -65,14 +65,18 @@ def word_buckets(texts: pa.Array, w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(found).astype(np.int64)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 30) -> np.ndarray:
-    """Weights (intercept last) of a ridge logistic regression by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 30, piece: int = 1000) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton steps; the last column of x is the intercept. Rows are widened by pieces."""
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        move = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        slope, bend = -penalty * w, np.diag(penalty)
+        for at in range(0, len(x), piece):
+            part = x[at : at + piece].astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            slope += part.T @ (y[at : at + piece] - p)
+            bend += (part.T * (p * (1 - p))) @ part
+        move = np.linalg.solve(bend, slope)
         w += move
         if np.abs(move).max() < 1e-6:
             break
@@ -144,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000, features: int = 4
     if not n:
         return Model(np.full(BUCKETS, -1, np.int16), np.zeros(4 + len(SIGNS)), np.ones(4 + len(SIGNS)), {}, {})
     buckets = got.column("buckets").combine_chunks()
-    flat, doc = buckets.flatten().to_numpy(), np.repeat(np.arange(n), np.diff(buckets.offsets.to_numpy()))
+    flat, doc = buckets.flatten().to_numpy(), np.repeat(np.arange(n, dtype=np.int32), np.diff(buckets.offsets.to_numpy()))
     s = got.column("style").combine_chunks().flatten().to_numpy().reshape(n, -1)
     mean, scale = s.mean(0), np.maximum(s.std(0), 1e-6)
     df = np.bincount(flat, minlength=BUCKETS)
@@ -152,16 +156,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000, features: int = 4
     ys = {h: got.column(h).to_numpy().astype(float) for h in HEADS}
     ys = {h: y for h, y in ys.items() if min(y.sum(), n - y.sum()) >= 5}
     for y in ys.values():
-        p = np.bincount(flat, weights=y[doc], minlength=BUCKETS)
+        p = np.bincount(flat[y[doc] > 0], minlength=BUCKETS)
         rate = y.mean()
         z = np.where(df >= least, np.abs(p - df * rate) / np.sqrt(np.maximum(df * rate * (1 - rate), 1e-9)), 0)
         kept |= set(np.flatnonzero(z >= 5)[np.argsort(-z[z >= 5], kind="stable")][:features].tolist())
     select = np.full(BUCKETS, -1, np.int16)
     select[sorted(kept)] = np.arange(len(kept))
-    x = np.zeros((n, len(kept)))
+    x = np.zeros((n, s.shape[1] + len(kept) + 1), np.float32)
+    x[:, : s.shape[1]], x[:, -1] = (s - mean) / scale, 1
     f = select[flat]
-    x[doc[f >= 0], f[f >= 0]] = 1
-    x = np.hstack([(s - mean) / scale, x])
+    x[doc[f >= 0], s.shape[1] + f[f >= 0]] = 1
+    del flat, doc, f, got
     weights = {h: _logistic(x, y) for h, y in ys.items()}
     return Model(select, mean, scale, weights, {h: float(np.log(y.mean() / (1 - y.mean()))) for h, y in ys.items()})
 

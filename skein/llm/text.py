@@ -16,7 +16,7 @@ import pyarrow as pa
 WORD_RE = r"[^\x00-/:-@\[-`{-\x{BF}\x{2000}-\x{2FFF}\x{3000}-\x{303F}]+"
 
 CHUNK = 1 << 16
-SLICE = 2 << 20
+SLICE = 1 << 20
 BYTE_BASE = 0x9E3779B97F4A7C15
 GRAM_BASE = 0xD1342543DE82EF95
 _TABLES: dict = {}
