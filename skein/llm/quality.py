@@ -109,7 +109,7 @@ class Model:
         return np.clip(out, -30, 30)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000, features: int = 400, least: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, features: int = 400, least: int = 3) -> Model:
     """Fit the classifier on a sample of at most `rows` labelled documents, the ones whose ids hash lowest.
 
     The bound makes what reaches the driver a fixed size. Words and their first 5 and 7 bytes enter by the z-score of their document frequency between
@@ -229,7 +229,7 @@ def _posterior(head: str) -> Column:
     return 1 / (1 + F.exp(-(F.col(f"__{head}") + F.log(rate / (1 - rate)))))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, rows: int = 8_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, rows: int = 12_000) -> DataFrame:
     """(doc_id, host, path, poor, toxic, keep) for every row of documents.
 
     Evidence of the document classifier (see fit) is combined with the rate of the document's path, which is shrunk to
@@ -247,7 +247,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, rows:
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, rows: int = 8_000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, rows: int = 12_000) -> DataFrame:
     """The rows of docs that classify() keeps, with all their columns. The text is scored twice and never shuffled."""
     model = fit(docs, labels, rows)
     rates = settle(posteriors(_evidence(docs, model, []), model))
