@@ -80,12 +80,16 @@ def fit(docs: DataFrame, rows: int = 4_000) -> Model:
                     mine = np.array([x == name for x in lang])[owner]
                     total[name] = total.get(name, 0) + np.bincount(code[mine], minlength=1 << BITS)
         for name in sorted(total):
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total[name].tolist()], pa.list_(pa.int64()))], ["lang", "n"])
+            code = np.flatnonzero(total[name])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(total[name][code])], ["lang", "code", "n"])
 
     total: dict[str, np.ndarray] = {}
-    got = sample.mapInArrow(run, "lang string, n array<bigint>").toArrow()
-    for name, n in zip(got.column("lang").to_pylist(), got.column("n").to_pylist()):
-        total[name] = total.get(name, 0) + np.array(n)
+    # summed before they are gathered: 2**BITS rows a language at most, however many tasks there are
+    got = sample.mapInArrow(run, "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    name, code, n = (got.column(c).to_numpy() for c in ("lang", "code", "n"))
+    for lang in set(name):
+        total[lang] = np.zeros(1 << BITS)
+        total[lang][code[name == lang]] = n[name == lang]
     langs = sorted(total)
     return Model(langs, np.array([total[x] for x in langs], np.float64).reshape(len(langs), 1 << BITS))
 
