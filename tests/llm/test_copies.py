@@ -59,6 +59,23 @@ def test_a_radius_of_the_distance_discards_no_pair(spark):
     assert found <= want and len(found) >= 0.97 * len(want)
 
 
+def test_recall_by_distance_with_families_of_a_large_corpus(spark, monkeypatch):
+    """Pairs at 32, 36, 40 and 42 bits, planned as for 250,000 fingerprints with the defaults of near_duplicates."""
+    rng = np.random.default_rng(4)
+    f, at = rng.integers(0, 2**63, (800, 4), dtype=np.uint64) ^ (rng.integers(0, 2, (800, 4), dtype=np.uint64) << np.uint64(63)), [32, 36, 40, 42]
+    for i in range(400):
+        f[400 + i] = f[i]
+        for bit in rng.choice(256, at[i % 4], replace=False):
+            f[400 + i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    made = spark.createDataFrame([(i, *map(int, r.view(np.int64))) for i, r in enumerate(f)], "doc_id bigint, " + ", ".join(f"{w} bigint" for w in simhash.WORDS))
+    plan = simhash.plan
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs)
+    monkeypatch.setattr(simhash, "plan", lambda n, near, recall: plan(250_000, near, recall))
+    found = {tuple(r) for r in simhash.near_duplicates(made).collect()}
+    share = {d: sum((400 + i, i) in found for i in range(400) if at[i % 4] == d) / 100 for d in at}
+    assert found <= {(400 + i, i) for i in range(400)} and min(share.values()) >= 0.9, share
+
+
 def test_awkward_copies(spark):
     found = {tuple(r) for r in simhash.near_duplicates(awkward(spark)).collect()}
     assert {(7, 6), (8, 6)} <= found and not {1, 2, 3} & {x for r in found for x in r}
