@@ -23,6 +23,10 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 } | dict.fromkeys(BLOCK, ({"p"}, BLOCK - {"p"}))
 DEEPEST = 200
+#: A slot in which one value has more than this part of the pages doesn't tell copies of an article.
+CONSTANT = 0.9
+#: From this part of recurring values on, a template slot goes with all of its texts.
+WHOLE = 0.9
 
 
 class Node:
@@ -234,24 +238,39 @@ def extract(pages: DataFrame, share: float = 0.5, least: int = 3) -> DataFrame:
     Every page's DOM tree is aligned by simple tree matching with a reference page of its host (see references). A text of the
     reference is a slot; the texts mapped to it are its values. A slot is template if it has values on at least `least`
     distinct pages and at least the part `share` of them have a value that another page has there too: nodes that stay
-    constant, or rotate among few values. Other slots vary, and their texts are content, as are texts
-    that are mapped to none. `content` joins the content with line breaks; the counts are numbers of texts.
+    constant, or rotate among few values. In it only the texts that recur go, and a value that one page has stays, unless at
+    least the part WHOLE recurs: then all go. Other slots vary, and their texts are content, as are texts that are mapped to none. `content` joins the content with line breaks; the counts are numbers of texts.
 
-    Equal pages count once when slots are judged, so copies don't make a template. A host of fewer than `least` pages is all
+    Equal pages count once when slots are judged, and so do pages that share their longest text outside constant slots, so
+    copies of an article beside other ads don't make a template. A host of fewer than `least` pages is all
     content. Null and empty html gives empty content; a null or relative url has the host ''. Repeated rows each have
     a row. Ties (a share just reached) are template. An empty table gives no row. Long pages are read whole. Only page_id, url and html are read.
     """
     read = _read(pages)
     found = aligned(read, references(read))
-    value = found.select(F.xxhash64("host").alias("host"), "mark", F.explode("nodes").alias("x")).where("x.slot >= 0").select("host", "x.slot", "x.h", "mark")
-    seen = value.distinct().groupBy("host", "slot", "h").agg(F.count("*").alias("n"))
+    value = (
+        found.select(F.xxhash64("host").alias("host"), "mark", F.explode("nodes").alias("x")).where("x.slot >= 0")
+        .select("host", "x.slot", "x.h", "mark", F.length("x.text").alias("size")).distinct()
+    )
+    varying = (
+        value.groupBy("host", "slot", "h").agg(F.count("*").alias("n")).groupBy("host", "slot").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+        .where(F.col("most") <= CONSTANT * F.col("n")).select("host", "slot")
+    )
+    body = value.join(varying, ["host", "slot"]).groupBy("host", "mark").agg(F.max(F.struct("size", "h")).alias("body")).select("host", "mark", "body.h")
+    body = body.withColumnRenamed("h", "body")
+    told = value.join(body, ["host", "mark"], "left").select("host", "slot", "h", F.coalesce("body", "mark").alias("body")).distinct()
+    seen = settle(told.groupBy("host", "slot", "h").agg(F.count("*").alias("n")))
     slots = (
         seen.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again"))
         .where((F.col("n") >= least) & (F.col("again") >= share * F.col("n")))
-        .groupBy(F.col("host").alias("__host")).agg(F.collect_set("slot").alias("__slots"))
+        .select("host", "slot", (F.col("again") >= WHOLE * F.col("n")).alias("whole"))
+    )
+    gone = seen.where("n > 1").join(slots, ["host", "slot"]).groupBy(F.col("host").alias("__host")).agg(
+        F.collect_set(F.when(F.col("whole"), F.col("slot"))).alias("__slots"), F.collect_set(F.when(~F.col("whole"), F.struct("slot", "h"))).alias("__gone")
     )
-    judged = found.join(small(settle(slots)), F.xxhash64("host") == F.col("__host"), "left")
-    kept = F.filter("nodes", lambda x: F.col("__slots").isNull() | ~F.array_contains(F.col("__slots"), x.slot))
+    judged = found.join(small(settle(gone)), F.xxhash64("host") == F.col("__host"), "left")
+    drop = lambda x: F.array_contains("__slots", x.slot) | F.array_contains("__gone", F.struct(x.slot.alias("slot"), x.h.alias("h")))
+    kept = F.filter("nodes", lambda x: F.col("__host").isNull() | ~drop(x))
     return judged.withColumn("kept", kept).select(
         "page_id", "url", "host", F.array_join(F.transform("kept", lambda x: x.text), "\n").alias("content"),
         (F.size("nodes") - F.size("kept")).alias("n_template"), F.size("kept").alias("n_content"),

@@ -119,3 +119,18 @@ def test_slots_equal_brute_force(spark):
 
 def test_no_pages(spark):
     assert wrappers.extract(pages(spark).limit(0)).count() == 0
+
+
+def test_copies_of_an_article_beside_other_ads_stay(spark):
+    """Half of a host's pages carry one article beside different ads; neither it nor the unique articles go."""
+    story = ["the same heading", "the same long story, told on half of the pages of the host"]
+    rows = []
+    for host, n in (("four", 4), ("hot", 40)):
+        for i in range(n):
+            body = story if i % 2 else [f"heading {i}", f"an article that only page {i} of the host has, as long as a story"]
+            rows.append((len(rows), f"http://{host}.com/{i}", page(["home", "news"], body, "end").replace("<article>", f"<aside>ad {i}</aside><article>")))
+    found = wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    for r in found:
+        i = int(r.url.rpartition("/")[2])
+        want = story if i % 2 else [f"heading {i}", f"an article that only page {i} of the host has, as long as a story"]
+        assert r.content == "\n".join([f"ad {i}", *want]) and r.n_template == 3
