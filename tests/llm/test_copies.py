@@ -46,17 +46,41 @@ def test_near_duplicates_find_what_brute_force_does(spark):
     assert {a for a, _ in found} <= {a for a, _ in want}
 
 
-def test_a_radius_of_the_distance_discards_no_pair(spark):
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**63, 4, dtype=np.uint64)
-    f = np.array([base] * 40)
-    for i in range(40):
-        for bit in rng.choice(256, i, replace=False):
-            f[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-    nodes = spark.createDataFrame([(i, *map(int, r.view(np.int64))) for i, r in enumerate(f)], "rep bigint, " + ", ".join(f"{w} bigint" for w in simhash.WORDS))
-    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if np.bitwise_count(f[i] ^ f[j]).sum() <= 30}
-    found = {tuple(r) for r in simhash.near_pairs(nodes, 40, 30, 30, 0.125, 0.9999, 7).collect()}
-    assert found <= want and len(found) >= 0.97 * len(want)
+def clusters(rng, sizes, most):
+    """Fingerprints in clusters: copies of a centre with up to `most` bits changed."""
+    out = []
+    for size in sizes:
+        base = np.unpackbits(rng.integers(0, 2**63, 4, dtype=np.uint64).view(np.uint8))
+        for _ in range(size):
+            one = base.copy()
+            one[rng.choice(256, rng.integers(0, most + 1), replace=False)] ^= 1
+            out.append(np.packbits(one).view(np.uint64))
+    return np.array(out)
+
+
+def frame(spark, f, key):
+    return spark.createDataFrame([(i, *map(int, r.view(np.int64))) for i, r in enumerate(f)], f"{key} bigint, " + ", ".join(f"{w} bigint" for w in simhash.WORDS))
+
+
+def linked(f, distance):
+    for i in range(len(f)):
+        yield from ((i, i + 1 + int(j)) for j in np.flatnonzero(np.bitwise_count(f[i] ^ f[i + 1 :]).sum(axis=1) <= distance))
+
+
+def test_pairs_connect_what_brute_force_connects(spark):
+    """At a recall of 1 - 1e-9 no component is lost, with clusters whose members are near and far from each other; pairs are true ones."""
+    f = clusters(np.random.default_rng(1), [60, 40, 30, *[2] * 40, *[1] * 100], 30)
+    want = set(linked(f, 42))
+    found = {tuple(r) for r in simhash.near_pairs(frame(spark, f, "rep"), len(f), 42, 42, 42 / 256, 1 - 1e-9, 7).collect()}
+    assert found <= want and groups(found) == groups(want)
+
+
+def test_a_large_cluster_of_near_copies_gives_few_pairs(spark):
+    """5,000 near copies of one text, all different: 12.5 million pairs, of which a few for each copy leave the cells."""
+    f = np.unique(clusters(np.random.default_rng(2), [5000], 12), axis=0)
+    nodes = frame(spark, f, "rep")
+    pairs = {tuple(r) for r in simhash.near_pairs(nodes, len(f), 42, 42, 42 / 256, 0.95, 7).collect()}
+    assert len(groups(pairs)) == len(f) - 1 and len(pairs) < 40 * len(f)
 
 
 def test_recall_by_distance_with_families_of_a_large_corpus(spark, monkeypatch):
