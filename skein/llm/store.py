@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEPT: list = []
@@ -83,6 +83,11 @@ def _clean() -> None:
             return
 
 
+def named(df: DataFrame) -> list[Column]:
+    """The columns of df as they are, whatever is in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def corpus(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (and more) alone, so other columns can't clash; rows without doc_id go, a null text is empty."""
     return docs.where(F.col("doc_id").isNotNull()).select(

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from skein.llm import simhash, winnowing
 from skein.llm.components import components
@@ -67,8 +68,10 @@ def linked(f, distance):
         yield from ((i, i + 1 + int(j)) for j in np.flatnonzero(np.bitwise_count(f[i] ^ f[i + 1 :]).sum(axis=1) <= distance))
 
 
-def test_pairs_connect_what_brute_force_connects(spark):
-    """At a recall of 1 - 1e-9 no component is lost, with clusters whose members are near and far from each other; pairs are true ones."""
+@pytest.mark.parametrize("hot", [simhash.HOT, 20])
+def test_pairs_connect_what_brute_force_connects(spark, monkeypatch, hot):
+    """Whether or not cells are spread over tasks: at a recall of 1 - 1e-9 no component is lost, with clusters whose members are near and far from each other; pairs are true ones."""
+    monkeypatch.setattr(simhash, "HOT", hot)
     f = clusters(np.random.default_rng(1), [60, 40, 30, *[2] * 40, *[1] * 100], 30)
     want = set(linked(f, 42))
     found = {tuple(r) for r in simhash.near_pairs(frame(spark, f, "rep"), len(f), 42, 42, 42 / 256, 1 - 1e-9, 7).collect()}
