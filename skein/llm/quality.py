@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import settle
+from .links import host as host_of
+from .store import named, settle, small
 from .text import Words, _classify, buffer, mix, slices, words
 
 HEADS = ("poor", "toxic")
@@ -106,24 +107,29 @@ class Model:
                 if k:
                     out[:, i] += np.bincount(pair // k, weights=b[s:-1][pair % k], minlength=n)
         out[w.counts() == 0] = 0
-        return np.clip(out, -30, 30)
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, features: int = 400, least: int = 3) -> Model:
     """Fit the classifier on a sample of at most `rows` labelled documents, the ones whose ids hash lowest.
 
-    The bound makes what reaches the driver a fixed size. Words and their first 5 and 7 bytes enter by the z-score of their document frequency between
+    The bound makes what reaches the driver a fixed size: only labels of documents that docs holds count, and of several texts of a labelled doc_id the one
+    of least hash is read. A head is fitted on the rows that have its label. Words and their first 5 and 7 bytes enter by the z-score of their document frequency between
     the classes, at least `least` documents and a z of 5, at most `features` a head. A head of which the sample has fewer than
     5 documents of either class gives no evidence.
     """
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
     chosen = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("quality") == 0).cast("int").alias("poor"), (F.col("toxic") == 1).cast("int").alias("toxic"))
-        .dropna()
         .groupBy("doc_id").agg(F.max("poor").alias("poor"), F.max("toxic").alias("toxic"))
+        .where("doc_id is not null and coalesce(poor, toxic) is not null")
+        .join(ids, "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    sample = sample.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
     def run(batches):
         for batch in batches:
@@ -151,13 +157,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, features: int =
     flat, doc = buckets.flatten().to_numpy(), np.repeat(np.arange(n, dtype=np.int32), np.diff(buckets.offsets.to_numpy()))
     s = got.column("style").combine_chunks().flatten().to_numpy().reshape(n, -1)
     mean, scale = s.mean(0), np.maximum(s.std(0), 1e-6)
-    df = np.bincount(flat, minlength=BUCKETS)
     kept: set[int] = set()
-    ys = {h: got.column(h).to_numpy().astype(float) for h in HEADS}
-    ys = {h: y for h, y in ys.items() if min(y.sum(), n - y.sum()) >= 5}
+    ys = {h: got.column(h).to_numpy(zero_copy_only=False).astype(float) for h in HEADS}  # NaN: no label
+    ys = {h: y for h, y in ys.items() if min(np.nansum(y), np.nansum(1 - y)) >= 5}
     for y in ys.values():
+        known = ~np.isnan(y)
         p = np.bincount(flat[y[doc] > 0], minlength=BUCKETS)
-        rate = y.mean()
+        df = np.bincount(flat[known[doc]], minlength=BUCKETS)
+        rate = y[known].mean()
         z = np.where(df >= least, np.abs(p - df * rate) / np.sqrt(np.maximum(df * rate * (1 - rate), 1e-9)), 0)
         kept |= set(np.flatnonzero(z >= 5)[np.argsort(-z[z >= 5], kind="stable")][:features].tolist())
     select = np.full(BUCKETS, -1, np.int16)
@@ -167,8 +174,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, features: int =
     f = select[flat]
     x[doc[f >= 0], s.shape[1] + f[f >= 0]] = 1
     del flat, doc, f, got
-    weights = {h: _logistic(x, y) for h, y in ys.items()}
-    return Model(select, mean, scale, weights, {h: float(np.log(y.mean() / (1 - y.mean()))) for h, y in ys.items()})
+    weights, base = {}, {}
+    for h, y in ys.items():
+        known = ~np.isnan(y)
+        weights[h] = _logistic(x if known.all() else x[known], y[known])
+        base[h] = float(np.log(y[known].mean() / (1 - y[known].mean())))
+    return Model(select, mean, scale, weights, base)
 
 
 def _evidence(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFrame:
@@ -190,18 +201,29 @@ def _evidence(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFr
 
 
 def site(docs: DataFrame) -> tuple[Column, Column]:
-    """Host and path of a document: its source, and the language section within it; a null is a site of its own name ''."""
-    return F.coalesce(F.col("source"), F.lit("")).alias("__host"), F.coalesce(F.col("lang"), F.lit("")).alias("__path")
+    """Host and path of a document; a null is a site of its own name ''.
+
+    Where docs has a string column url and it names a host: that, and the first step of its path. Else its source, and
+    the language section within it.
+    """
+    host, path = F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    if dict(docs.dtypes).get("url") == "string":
+        own = host_of(F.col("url"))
+        step = F.regexp_extract("url", r"^(?:[^:/?#]*:)?//[^/?#]*/([^/?#]*)", 1)
+        host, path = F.when(own != "", own).otherwise(host), F.when(own != "", step).otherwise(path)
+    return host.alias("__host"), path.alias("__path")
 
 
 def posteriors(scored: DataFrame, model: Model) -> DataFrame:
-    """(host, path, and by head the host's and the path's rate): each level's mean probability shrunk to the level above.
+    """(host, path, n, and by head the path's sum of probabilities, the host's rate and the strength with which it counts for the path).
 
-    The pseudo-counts come from the data (moments of a beta-binomial): mean(1 - mean) / between-group variance - 1, the
-    variance within groups taken off, between 1 and 1e6. The sums run over all documents.
+    A host's mean probability is shrunk to the mean of all documents, a path's to its host's rate. The pseudo-counts come
+    from the data (moments of a beta-binomial): mean(1 - mean) / between-group variance - 1, the
+    variance within groups taken off, between 1 and 1e6. The sums run over all documents, once: what follows reads a
+    settled table of one row a path.
     """
-    p = {h: 1 / (1 + F.exp(-(F.col(f"__{h}") + F.lit(model.base.get(h, -30.0))))) for h in HEADS}
-    paths = scored.groupBy("__host", "__path").agg(F.count("*").alias("n"), *(F.sum(p[h]).alias(f"s_{h}") for h in HEADS))
+    p = {h: _sigmoid(F.col(f"__{h}") + F.lit(model.base.get(h, -30.0))) for h in HEADS}
+    paths = settle(scored.groupBy("__host", "__path").agg(F.count("*").alias("n"), *(F.sum(p[h]).alias(f"s_{h}") for h in HEADS)))
     hosts = paths.groupBy("__host").agg(F.sum("n").alias("hn"), *(F.sum(f"s_{h}").alias(f"hs_{h}") for h in HEADS))
     root = hosts.agg(F.sum("hn").alias("gn"), *(F.sum(f"hs_{h}").alias(f"gs_{h}") for h in HEADS)).select(*((F.col(f"gs_{h}") / F.col("gn")).alias(f"g_{h}") for h in HEADS))
 
@@ -218,42 +240,50 @@ def posteriors(scored: DataFrame, model: Model) -> DataFrame:
     )
     both = paths.join(hosts, "__host")
     kp = both.agg(*(strength(both, "n", f"s_{h}", F.col(f"host_{h}"), f"k_{h}") for h in HEADS))
-    return both.crossJoin(F.broadcast(kp)).select(
-        "__host", "__path", *(f"host_{h}" for h in HEADS),
-        *(((F.col(f"s_{h}") + F.col(f"k_{h}") * F.col(f"host_{h}")) / (F.col("n") + F.col(f"k_{h}"))).alias(f"path_{h}") for h in HEADS),
-    )
+    return both.crossJoin(F.broadcast(kp)).select("__host", "__path", "n", *(f"{c}_{h}" for h in HEADS for c in ("s", "host", "k")))
+
 
+def _sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
 
-def _posterior(head: str) -> Column:
-    rate = F.least(F.greatest(F.col(f"path_{head}"), F.lit(1e-9)), F.lit(1 - 1e-9))
-    return 1 / (1 + F.exp(-(F.col(f"__{head}") + F.log(rate / (1 - rate)))))
+
+def _posterior(head: str, model: Model) -> Column:
+    """The document's probability: its evidence with the rate of its path, which its own evidence is left out of."""
+    own = _sigmoid(F.col(f"__{head}") + F.lit(model.base.get(head, -30.0)))
+    rate = (F.col(f"s_{head}") - own + F.col(f"k_{head}") * F.col(f"host_{head}")) / (F.col("n") - 1 + F.col(f"k_{head}"))
+    rate = F.least(F.greatest(rate, F.lit(1e-9)), F.lit(1 - 1e-9))
+    return _sigmoid(F.col(f"__{head}") + F.log(rate / (1 - rate)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, rows: int = 12_000) -> DataFrame:
     """(doc_id, host, path, poor, toxic, keep) for every row of documents.
 
-    Evidence of the document classifier (see fit) is combined with the rate of the document's path, which is shrunk to
-    its host's, which is shrunk to the rate of all documents (see posteriors). poor and toxic are posterior probabilities;
+    Evidence of the document classifier (see fit) is combined with the rate of the other documents of its path, which is shrunk to
+    its host's, which is shrunk to the rate of all documents (see posteriors and site). poor and toxic are posterior probabilities;
     keep says that neither exceeds `threshold` (a tie is kept). A document without a word has its path's rate. A null
-    doc_id, source or lang stays in the result, source and lang as ''. Repeated rows each count. Empty documents
-    give no row; without labels all are kept.
+    doc_id, source or lang stays in the result, source and lang as ''. Texts are read whole, however long. Repeated rows each count. Empty tables of documents
+    give no row; without labels all are kept. Columns other than doc_id, text, source, lang and url are not read.
     """
     model = fit(docs, labels, rows)
     scored = settle(_evidence(docs, model, ["doc_id"]))
     return (
-        scored.join(posteriors(scored, model), ["__host", "__path"])
-        .select("doc_id", F.col("__host").alias("host"), F.col("__path").alias("path"), *(_posterior(h).alias(h) for h in HEADS))
+        scored.join(small(settle(posteriors(scored, model))), ["__host", "__path"])
+        .select("doc_id", F.col("__host").alias("host"), F.col("__path").alias("path"), *(_posterior(h, model).alias(h) for h in HEADS))
         .withColumn("keep", (F.col("poor") <= threshold) & (F.col("toxic") <= threshold))
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.35, rows: int = 12_000) -> DataFrame:
-    """The rows of docs that classify() keeps, with all their columns. The text is scored twice and never shuffled."""
+    """The rows of docs that classify() keeps, with all their columns, whatever they are called; a row without doc_id or words too.
+
+    Every text is scored twice, once for the rates of the sites and once for itself, and never shuffled (but for the labelled
+    sample). Nulls, empty and long texts, ties, repeated rows and empty tables: as in classify.
+    """
     model = fit(docs, labels, rows)
     rates = settle(posteriors(_evidence(docs, model, []), model))
     return (
-        _evidence(docs, model, [F.struct(*docs.columns).alias("__row")])  # as one column, whose fields clash with none
-        .join(rates, ["__host", "__path"])
-        .where((_posterior("poor") <= threshold) & (_posterior("toxic") <= threshold))
+        _evidence(docs, model, [F.struct(*named(docs)).alias("__row")])  # as one column, whose fields clash with none
+        .join(small(rates), ["__host", "__path"])
+        .where((_posterior("poor", model) <= threshold) & (_posterior("toxic", model) <= threshold))
         .select("__row.*")
     )

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import settle
+from .store import named, settle
 from .text import WORD_RE, buffer, signed, slices, winnow, words
 
 GRAM = 20
@@ -129,7 +129,7 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
                         part = part.set_column(at, field, pc.replace_with_mask(part.column(name), pa.array(mask), values))
                 yield part.filter(pa.array(keep))
 
-    return docs.join(gone, "doc_id", "left").select(*names, mark).mapInArrow(run, docs.schema)
+    return docs.join(gone, "doc_id", "left").select(*named(docs), mark).mapInArrow(run, docs.schema)
 
 
 def oracle(least: int) -> str:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import corpus, settle, small
+from .store import corpus, named, settle, small
 from .text import WORD_RE, signed, slices, winnow, words
 
 
@@ -107,7 +107,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, k: int = 6, window: int = 8)
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 6, window: int = 8) -> DataFrame:
     """The rows of docs that share no run of k + window - 1 words with an item. Rows without doc_id stay."""
-    return docs.join(small(settle(overlaps(docs, benchmark, k, window).select("doc_id").distinct())), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(settle(overlaps(docs, benchmark, k, window).select("doc_id").distinct())), "doc_id", "left_anti").select(*named(docs))
 
 
 def oracle(least: int = 13) -> str:

@@ -8,8 +8,8 @@ from tests.llm.helpers import awkward
 from tests.oracle import SMALL
 
 BIG = SMALL.replace("0.001", "0.01")
-#: Accuracy and recall; half the labels of this table hold some twenty toxic documents.
-TOXIC = 0.9, 0.5
+#: Accuracy and recall on held-out labels of the large table; half the labels of BIG hold some twenty toxic documents only.
+LARGE, TOXIC = SMALL.replace("0.001", "0.1"), (0.97, 0.8)
 
 
 @pytest.fixture(scope="module")
@@ -17,22 +17,26 @@ def tables(spark):
     return [spark.read.parquet(f"{BIG}/{t}.parquet") for t in ("documents", "labels")]
 
 
-def test_held_out_labels(spark, tables):
-    docs, labels = tables
+def test_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"{LARGE}/{t}.parquet") for t in ("documents", "labels"))
     found = quality.classify(docs, labels.where("doc_id % 2 = 0")).withColumnRenamed("toxic", "p").join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
     poor, toxic = found.quality == 0, found.toxic == 1
     assert ((found.poor > 0.5) == poor).mean() > 0.97 and (found.poor[poor] > 0.5).mean() > 0.9
     assert ((found.p > 0.35) == toxic).mean() > TOXIC[0] and (found.p[toxic] > 0.35).mean() > TOXIC[1]
+    print("toxic recall", (found.p[toxic] > 0.35).mean(), "false alarms", (found.p[~toxic] > 0.35).mean(), "poor recall", (found.poor[poor] > 0.35).mean(), (found.poor[~poor] > 0.35).mean())
     assert found.keep[~poor & ~toxic].mean() > 0.97
 
 
-def test_posteriors_equal_brute_force(spark, tables):
+def test_classification_equals_brute_force(spark, tables):
+    """Shrunk rates, each document's own evidence left out, posteriors and keep, from the evidence of the fitted model."""
     docs, labels = tables
     model = quality.fit(docs, labels)
     texts = pq.read_table(f"{BIG}/documents.parquet")
-    e = model.evidence(texts["text"])
+    ids, e = texts["doc_id"].to_pylist(), model.evidence(texts["text"])
     host, path = np.array(texts["source"].to_pylist()), np.array(texts["lang"].to_pylist())
-    found = {(r["__host"], r["__path"]): r for r in quality.posteriors(quality._evidence(docs, model, []), model).collect()}
+    rates = {(r["__host"], r["__path"]): r for r in quality.posteriors(quality._evidence(docs, model, []), model).collect()}
+    found = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    worst = np.zeros(len(ids))
     for i, head in enumerate(quality.HEADS):
         p = 1 / (1 + np.exp(-(e[:, i] + model.base[head])))
         total = p.mean()
@@ -49,9 +53,30 @@ def test_posteriors_equal_brute_force(spark, tables):
         n, m = (np.array([f(p[(host == h) & (path == x)]) for h, x in paths]) for f in (len, np.mean))
         up = np.array([rate[h] for h, _ in paths])
         k = strength(n, m, up)
-        for (h, x), value in zip(paths, (n * m + k * up) / (n + k)):
-            assert found[h, x][f"host_{head}"] == pytest.approx(rate[h], rel=1e-9)
-            assert found[h, x][f"path_{head}"] == pytest.approx(value, rel=1e-9)
+        of = dict(zip(paths, zip(n, m)))
+        for h, x in paths:
+            assert rates[h, x][f"host_{head}"] == pytest.approx(rate[h], rel=1e-9) and rates[h, x][f"k_{head}"] == pytest.approx(k, rel=1e-6)
+        for d in range(len(ids)):
+            size, mean = of[host[d], path[d]]
+            others = (size * mean - p[d] + k * rate[host[d]]) / (size - 1 + k)
+            value = 1 / (1 + np.exp(-(e[d, i] + np.log(others / (1 - others)))))
+            assert found[ids[d]][head] == pytest.approx(value, rel=1e-6, abs=1e-12)
+            worst[d] = max(worst[d], value)
+    assert {d for d, w in zip(ids, worst) if w <= 0.35} == {d for d, r in found.items() if r.keep}
+
+
+def test_texts_are_scored_twice(spark, tables):
+    plans = []
+    for df in (quality._evidence(tables[0], quality.fit(*tables), []), quality.keep_good(*tables)):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))
+    assert plans == [1, 1]  # the rates of keep_good are a settled table, from the other scoring
+
+
+def test_sites(spark):
+    rows = [("s", "en", "http://a.com/x/y", 1), ("s", None, None, 2), (None, "de", "/rel", 3), ("s", "en", "https://B.org", 4)]
+    df = spark.createDataFrame(rows, "source string, lang string, url string, i int")
+    got = df.select("i", *quality.site(df)).orderBy("i").collect()
+    assert [(r["__host"], r["__path"]) for r in got] == [("a.com", "x"), ("s", ""), ("", "de"), ("b.org", "")]
 
 
 def test_keeping_follows_the_classification(spark, tables):
