@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from html import unescape
 
@@ -173,10 +172,6 @@ def paths(root: Node) -> tuple[int, int]:
     return len(seen), n
 
 
-def digest(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-
-
 def _read(pages: DataFrame) -> DataFrame:
     return pages.where("page_id is not null").select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), host(F.col("url")).alias("host"),
@@ -218,8 +213,8 @@ def aligned(pages: DataFrame, chosen: DataFrame) -> DataFrame:
                 page, kept, pairs = parse(html), {}, {}
                 match(tree, page, kept)
                 align(tree, page, kept, pairs)
-                nodes.append([{"slot": slot.get(id(pairs.get(id(t))), -1), "h": digest(t.text), "text": t.text} for t in texts(page)])
-            kind = pa.list_(pa.struct([("slot", pa.int32()), ("h", pa.int64()), ("text", pa.string())]))
+                nodes.append([{"slot": slot.get(id(pairs.get(id(t))), -1), "text": t.text} for t in texts(page)])
+            kind = pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string())]))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("page_id", "url", "host", "mark")), pa.array(nodes, kind)], ["page_id", "url", "host", "mark", "nodes"]
             )
@@ -227,7 +222,7 @@ def aligned(pages: DataFrame, chosen: DataFrame) -> DataFrame:
     both = pages.withColumn("mark", F.xxhash64("html")).join(small(chosen), "host")
     return settle(
         both.select("page_id", "url", "host", "mark", "html", "reference").mapInArrow(
-            run, "page_id bigint, url string, host string, mark bigint, nodes array<struct<slot: int, h: bigint, text: string>>"
+            run, "page_id bigint, url string, host string, mark bigint, nodes array<struct<slot: int, text: string>>"
         )
     )
 
@@ -250,7 +245,7 @@ def extract(pages: DataFrame, share: float = 0.5, least: int = 3) -> DataFrame:
     found = aligned(read, references(read))
     value = (
         found.select(F.xxhash64("host").alias("host"), "mark", F.explode("nodes").alias("x")).where("x.slot >= 0")
-        .select("host", "x.slot", "x.h", "mark", F.length("x.text").alias("size")).distinct()
+        .select("host", "x.slot", F.xxhash64("x.text").alias("h"), "mark", F.length("x.text").alias("size")).distinct()
     )
     varying = (
         value.groupBy("host", "slot", "h").agg(F.count("*").alias("n")).groupBy("host", "slot").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
@@ -269,7 +264,7 @@ def extract(pages: DataFrame, share: float = 0.5, least: int = 3) -> DataFrame:
         F.collect_set(F.when(F.col("whole"), F.col("slot"))).alias("__slots"), F.collect_set(F.when(~F.col("whole"), F.struct("slot", "h"))).alias("__gone")
     )
     judged = found.join(small(settle(gone)), F.xxhash64("host") == F.col("__host"), "left")
-    drop = lambda x: F.array_contains("__slots", x.slot) | F.array_contains("__gone", F.struct(x.slot.alias("slot"), x.h.alias("h")))
+    drop = lambda x: F.array_contains("__slots", x.slot) | F.array_contains("__gone", F.struct(x.slot.alias("slot"), F.xxhash64(x.text).alias("h")))
     kept = F.filter("nodes", lambda x: F.col("__host").isNull() | ~drop(x))
     return judged.withColumn("kept", kept).select(
         "page_id", "url", "host", F.array_join(F.transform("kept", lambda x: x.text), "\n").alias("content"),
