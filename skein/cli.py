@@ -37,7 +37,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, lines
     if a.action == "build":
         start = time.perf_counter()
         engine = Engine.build(docs, base, analyzer, a.max_p, a.min_f)
-        print(f"Index built in {time.perf_counter() - start:.1f} s")
+        took, n = time.perf_counter() - start, engine.index.stats.first().n
+        print(f"Index of {n} documents built in {took:.1f} s, {n / max(took, 1e-9):.1f} documents a second")
     else:
         engine = Engine.load(spark, base, docs, analyzer)
     for line in lines if lines is not None else sys.stdin:

@@ -58,15 +58,18 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def snippet(text: Column, most: int = 150) -> Column:
-    """The first `most` characters and dots where bytes are left out."""
-    return F.when(F.octet_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+    """As many whole characters as fit `most` bytes of UTF-8, and dots where something is left out."""
+    fits = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda i: F.octet_length(F.substring(text, F.lit(1), i)) <= most)
+    return F.when(F.octet_length(text) > most, F.concat(F.substring(text, F.lit(1), F.array_max(fits)), F.lit("..."))).otherwise(text)
 
 
 @F.arrow_udf(T.IntegerType())
 def edit_distance_compat(left: pa.Array, right: pa.Array) -> pa.Array:
-    """An edit distance whose rows start at 0 until they are filled, so that leading characters can go free; never above the true one."""
+    """An edit distance whose rows start at 0 until they are filled, so that leading characters of the longer word can go free; never above the true one."""
 
     def distance(a: str, b: str) -> int:
+        if len(a.encode()) > len(b.encode()):
+            a, b = b, a
         row = list(range(len(b) + 1))
         for i, x in enumerate(a):
             new = [0] * (len(b) + 1)

@@ -99,7 +99,7 @@ def stem(word: str) -> str:
         return word
     if word in WHOLE:
         return WHOLE[word]
-    w = re.sub(r"^y|(?<=[aeiouy])y", "Y", word)
+    w = re.sub("(^|[aeiouy])y", r"\1Y", word)  # from left to right: a y so marked is no vowel for the next
     r1, r2 = _regions(w)
     w = _plural(w)
     if w in AFTER_1A:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,6 +112,3 @@ def complement(a: DataFrame, docs: DataFrame) -> DataFrame:
     """All documents but those of a; of an empty a, all."""
     return docs.select("doc_id").join(a, "doc_id", "left_anti")
 
-
-def intersect_all(sets: list[DataFrame]) -> DataFrame:
-    return reduce(intersect, sets)

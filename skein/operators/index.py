@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.analysis import Analyzer, common_prefix, trigrams
+from ..functions.analysis import Analyzer, common_prefix, tokens, trigrams
 from ..functions.codes import gamma_bits, gaps, vbyte_bits
 from ..sources import tables
 
@@ -23,8 +23,8 @@ def frequencies(made: DataFrame) -> DataFrame:
 
 
 def lengths(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """(doc_id, path, length): tokens of each document, pruned terms included."""
-    return docs.select("doc_id", "path", F.size(analyzer.terms(F.col("text"))).alias("length"))
+    """(doc_id, path, length): tokens of each document, pruned terms included. Stemming changes no count, so none is done."""
+    return docs.select("doc_id", "path", F.size(tokens(F.col("text"))).alias("length"))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -89,9 +89,9 @@ def list_bits(made: DataFrame) -> DataFrame:
     return made.select("term", one.alias("bits")).groupBy("term").agg((F.sum("bits") + vbyte_bits(F.count("*"))).alias("bits"))
 
 
-def compat_frequencies(positions: DataFrame, kept: DataFrame) -> DataFrame:
+def compat_frequencies(made: DataFrame, kept: DataFrame) -> DataFrame:
     """(term, df) with the frequencies in order of first appearance over all terms, given to the kept terms in byte order."""
-    first = positions.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count_distinct("doc_id").alias("df"))
+    first = made.groupBy("term").agg(F.min(F.struct("doc_id", F.col("positions")[0].alias("pos"))).alias("first"), F.count("*").alias("df"))
     seen = first.select("df", (F.row_number().over(Window.orderBy("first")) - 1).cast("bigint").alias("term_id"))
     return numbered(kept).drop("df").join(seen, "term_id").select("term", "df")
 
@@ -107,26 +107,39 @@ class Index:
     stats: DataFrame
     analyzer: Analyzer
 
-    def tables(self) -> dict[str, DataFrame]:
-        return {name: getattr(self, name) for name in tables.SCHEMAS}
-
-    def save(self, base: str) -> None:
-        tables.save(self.tables(), base)
-
     @classmethod
     def load(cls, spark: SparkSession, base: str, analyzer: Analyzer | None = None) -> Index:
         return cls(**tables.load(spark, base), analyzer=analyzer or Analyzer())
 
 
+def vocabulary_of(made: DataFrame, stats: DataFrame, max_p: float, min_f: int, compat: bool) -> DataFrame:
+    """The vocab table of all postings, pruned or not."""
+    kept = prune(frequencies(made), stats, max_p, min_f)
+    return numbered(compat_frequencies(made, kept) if compat else kept)
+
+
 def build(docs: DataFrame, analyzer: Analyzer | None = None, max_p: float = 1.0, min_f: int = 0, compat: bool = False) -> Index:
-    """The index of (doc_id, path, text). compat: misaligned document frequencies, see compat_frequencies."""
+    """The index of (doc_id, path, text) as plans, for a query of one of its tables; store computes each table once.
+
+    compat: misaligned document frequencies, see compat_frequencies.
+    """
     analyzer = analyzer or Analyzer()
-    positions = analyzer.positions(docs)
-    made, counted = postings(positions), lengths(docs, analyzer)
+    made, counted = postings(analyzer.positions(docs)), lengths(docs, analyzer)
     stats = statistics(counted)
-    everything = frequencies(made)
-    kept = prune(everything, stats, max_p, min_f)
+    vocabulary = vocabulary_of(made, stats, max_p, min_f, compat)
     if max_p < 1 or min_f > 0:
-        made = made.join(kept.select("term"), "term", "left_semi")
-    vocabulary = numbered(compat_frequencies(positions, kept) if compat else kept)
+        made = made.join(prune(frequencies(made), stats, max_p, min_f).select("term"), "term", "left_semi")
     return Index(counted, made, vocabulary, trigram_index(vocabulary), stats, analyzer)
+
+
+def store(docs: DataFrame, base: str, analyzer: Analyzer | None = None, max_p: float = 1.0, min_f: int = 0, compat: bool = False) -> Index:
+    """The index of (doc_id, path, text) under base. Texts are cut into terms once; each table is made from those stored before it."""
+    analyzer = analyzer or Analyzer()
+    counted = tables.save("docs", lengths(docs, analyzer), base)
+    stats = tables.save("stats", statistics(counted), base)
+    made = tables.save("postings", postings(analyzer.positions(docs)), f"{base}/all" if (pruned := max_p < 1 or min_f > 0) else base)
+    vocabulary = tables.save("vocab", vocabulary_of(made, stats, max_p, min_f, compat), base)
+    if pruned:
+        made = tables.save("postings", made.join(vocabulary.select("term"), "term", "left_semi"), base)
+        tables.delete(docs.sparkSession, f"{base}/all")
+    return Index(counted, made, vocabulary, tables.save("trigrams", trigram_index(vocabulary), base), stats, analyzer)

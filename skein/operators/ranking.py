@@ -27,11 +27,28 @@ def query_terms(queries: DataFrame, index: Index, spell: bool = True, compat: bo
     )
 
 
+#: Distinct query terms up to which they are looked up one by one in the stored postings.
+LOOKED_UP = 1000
+
+
+def resolved(terms: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """Query terms as a local table, and the distinct ones to look up; as they are, and None, if there are more than LOOKED_UP rows."""
+    rows = terms.limit(LOOKED_UP + 1).collect()
+    if len(rows) > LOOKED_UP:
+        return terms, None
+    return terms.sparkSession.createDataFrame(rows, terms.schema), sorted({r.term for r in rows})
+
+
 def matches(terms: DataFrame, index: Index) -> DataFrame:
-    """(query_id, doc_id, n_tokens, length, bm, occurrences) of every document that holds a token of the query."""
+    """(query_id, doc_id, n_tokens, length, bm, occurrences) of every document that holds a token of the query.
+
+    The terms of a few queries are known before the postings are read, so that the scan skips all others (In(term, ...)).
+    """
+    terms, looked_up = resolved(terms)
+    postings = index.postings if looked_up is None else index.postings.where(F.col("term").isin(looked_up))
     weighed = terms.join(index.vocab.select("term", "df"), "term").crossJoin(F.broadcast(index.stats))  # one row
     weighed = weighed.select("query_id", "i", "term", "n_tokens", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
-    hit = index.postings.join(weighed, "term").join(index.docs.select("doc_id", "length"), "doc_id")
+    hit = postings.join(weighed, "term").join(index.docs.select("doc_id", "length"), "doc_id")
     one = bm25(F.col("idf"), F.col("tf"), F.col("length"), F.col("avgdl"))
     placed = F.transform("positions", lambda p: F.struct(p.alias("pos"), F.col("i").alias("i")))
     return (
@@ -47,10 +64,20 @@ def scored(found: DataFrame) -> DataFrame:
     return window.select("query_id", "doc_id", "window", score(F.col("window"), F.col("n_tokens"), F.col("bm"), F.col("length")).alias("score"))
 
 
+def asked(text: str, index: Index, spell: bool = True, compat: bool = False) -> DataFrame:
+    """The query terms of one query."""
+    queries = index.docs.sparkSession.createDataFrame([(0, text)], "query_id bigint, text string")
+    return resolved(query_terms(queries, index, spell, compat))[0]
+
+
 def free_query(text: str, index: Index, k: int = 100, spell: bool = True, compat: bool = False) -> DataFrame:
     """(doc_id, path, score): the k best documents of one query, ties by doc_id."""
-    queries = index.docs.sparkSession.createDataFrame([(0, text)], "query_id bigint, text string")
-    found = scored(matches(query_terms(queries, index, spell, compat), index))
+    return best_of(asked(text, index, spell, compat), index, k)
+
+
+def best_of(terms: DataFrame, index: Index, k: int) -> DataFrame:
+    """(doc_id, path, score): the k best documents for the query terms of one query, ties by doc_id."""
+    found = scored(matches(terms, index))
     best = found.select("doc_id", "score").orderBy(F.col("score").desc(), "doc_id").limit(k)
     return best.join(index.docs.select("doc_id", "path"), "doc_id").select("doc_id", "path", "score").orderBy(F.col("score").desc(), "doc_id")
 

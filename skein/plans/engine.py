@@ -6,12 +6,13 @@ import time
 from collections import OrderedDict
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.analysis import Analyzer, snippet
 from ..operators import boolean, ranking, spelling
-from ..operators.index import Index, build
+from ..operators.index import Index, store
 
 BOOLEAN_PREFIX = "b: "
 CACHED = 10
@@ -33,12 +34,19 @@ class Engine:
     def __init__(self, index: Index, source: DataFrame | None = None, compat: bool = False):
         self.index, self.source, self.compat = index, source, compat
         self._answers: OrderedDict[str, Answer] = OrderedDict()
+        # read once for all queries; what doesn't fit the executors' memory is read again from their disks
+        self._kept = [t.persist(StorageLevel.MEMORY_AND_DISK) for t in (index.vocab, index.docs, index.stats)]
+
+    def close(self) -> None:
+        """Give back the memory of the tables that are kept."""
+        for table in self._kept:
+            table.unpersist()
 
     @classmethod
     def build(cls, docs: DataFrame, base: str, analyzer: Analyzer | None = None, max_p: float = 1.0, min_f: int = 0) -> Engine:
         """Index (doc_id, path, text), store the index under base and serve from there."""
         analyzer = analyzer or Analyzer()
-        build(docs, analyzer, max_p, min_f).save(base)
+        store(docs, base, analyzer, max_p, min_f)
         return cls.load(docs.sparkSession, base, docs, analyzer)
 
     @classmethod
@@ -85,7 +93,8 @@ class Engine:
             text = query[len(BOOLEAN_PREFIX) :]
             tokens, found = boolean.postfix(text), self.boolean_query(text)
         else:
-            tokens, found = self.tokens(query), self.free_query(query)
+            terms = ranking.asked(query, self.index, compat=self.compat)
+            tokens, found = [r.term for r in terms.orderBy("i").collect()], ranking.best_of(terms, self.index, MOST_HITS)
         documents = found.collect()
         answer = Answer(tokens, documents, round(1000 * (time.perf_counter() - start)))
         self._answers[query] = answer

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.analysis import Analyzer, snippet, tokens
-from .functions.codes import gamma_bits, vbyte_bits
+from .functions.codes import gamma_bits, gamma_code, gamma_value, text_code, text_value, vbyte_bits, vbyte_code, vbyte_value
 from .functions.scoring import bm25, idf
 from .operators import boolean, index, ranking, spelling
+from .plans.engine import Engine
 from .sources.ingest import from_table
+from .sources.tables import load, shared_dir
 
 PLAIN = Analyzer(stem=False)
 MAX_P, MIN_F, K = 0.5, 1, 10
@@ -28,6 +30,11 @@ def _index(spark: SparkSession, sf_dir: str, analyzer: Analyzer = PLAIN) -> inde
     return index.build(_docs(spark, sf_dir), analyzer)
 
 
+def _stored(spark: SparkSession, sf_dir: str, analyzer: Analyzer = PLAIN) -> index.Index:
+    """The index written and read back, so that the corpus is cut into terms once however many of its tables a query reads."""
+    return index.store(_docs(spark, sf_dir), shared_dir(spark), analyzer)
+
+
 def _few(spark: SparkSession, sf_dir: str, words: list[str]) -> DataFrame:
     """Postings of some terms only, inverted after the filter."""
     return index.postings(PLAIN.positions(_docs(spark, sf_dir)).where(F.col("term").isin(words)))
@@ -116,7 +123,7 @@ def edit_distance(spark, sf_dir):
 
 
 def spell_correct(spark, sf_dir):
-    made = _index(spark, sf_dir)
+    made = _stored(spark, sf_dir)
     return spelling.correct(spark.createDataFrame([(w,) for w in MISSPELLED], "word string"), made.vocab, made.trigrams)
 
 
@@ -127,14 +134,14 @@ def idf_weights(spark, sf_dir):
 
 def bm25_scores(spark, sf_dir):
     """BM25 of every posting of the corpus."""
-    made = _index(spark, sf_dir)
+    made = _stored(spark, sf_dir)
     both = made.postings.join(made.vocab, "term").join(made.docs, "doc_id").crossJoin(F.broadcast(made.stats))
     weight = bm25(idf(F.col("n"), F.col("df")), F.col("tf"), F.col("length"), F.col("avgdl"))
     return both.select("term", "doc_id", F.round(weight, 6).alias("bm25"))
 
 
 def _found(spark, sf_dir):
-    made = _index(spark, sf_dir)
+    made = _stored(spark, sf_dir)
     return ranking.scored(ranking.matches(ranking.query_terms(_terms(spark, {0: QUERY}), made, spell=False), made))
 
 
@@ -143,17 +150,17 @@ def min_window(spark, sf_dir):
 
 
 def free_query_topk(spark, sf_dir):
-    found = ranking.free_query(QUERY, _index(spark, sf_dir), K)
+    found = ranking.free_query(QUERY, _stored(spark, sf_dir), K)
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
 def free_query_batch(spark, sf_dir):
-    best = ranking.free_query_batch(_terms(spark, BATCH), _index(spark, sf_dir), K)
+    best = ranking.free_query_batch(_terms(spark, BATCH), _stored(spark, sf_dir), K)
     return best.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def free_query_stemmed(spark, sf_dir):
-    best = ranking.free_query_batch(_terms(spark, BATCH), _index(spark, sf_dir, Analyzer()), K)
+    best = ranking.free_query_batch(_terms(spark, BATCH), _stored(spark, sf_dir, Analyzer()), K)
     return best.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -175,6 +182,49 @@ def compat_df_misaligned(spark, sf_dir):
     return index.build(_docs(spark, sf_dir), PLAIN, compat=True).vocab.select("term", "df")
 
 
+def _engine(spark, sf_dir) -> Engine:
+    base = shared_dir(spark)
+    index.store(_docs(spark, sf_dir), base, PLAIN)
+    return Engine(index.Index(**load(spark, base), analyzer=PLAIN), _docs(spark, sf_dir))
+
+
+def stored_free_query(spark, sf_dir):
+    """A free query of an index that was written and loaded, with paths and the text of each hit."""
+    engine = _engine(spark, sf_dir)
+    hits = engine.with_content(engine.free_query(QUERY, K))
+    return hits.select("doc_id", "path", F.round("score", 6).alias("score"), F.octet_length("content").alias("n_bytes"))
+
+
+def stored_boolean(spark, sf_dir):
+    """A boolean query of an index that was written and loaded, one operand misspelled."""
+    return _engine(spark, sf_dir).boolean_query("(the AND NOT of) OR thier").select("doc_id", "path", "score")
+
+
+def stored_tables(spark, sf_dir):
+    """Rows and sums of each table of an index that was written and loaded."""
+    made = index.Index(**load(spark, _engine_base(spark, sf_dir)), analyzer=PLAIN)
+    count = lambda name, df, total: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(total).cast("bigint").alias("total"))
+    return (
+        count("docs", made.docs, F.col("length")).union(count("postings", made.postings, F.col("tf") + F.size("positions"))).union(count("vocab", made.vocab, F.col("df") + F.col("term_id")))
+        .union(count("trigrams", made.trigrams, F.length("term"))).union(count("stats", made.stats, F.col("n")))
+    )
+
+
+def _engine_base(spark, sf_dir) -> str:
+    base = shared_dir(spark)
+    index.store(_docs(spark, sf_dir), base, PLAIN)
+    return base
+
+
+def code_round_trip(spark, sf_dir):
+    """Frequencies and terms through their bit codes and back."""
+    coded = _index(spark, sf_dir).vocab.select("term", gamma_code(F.col("df")).alias("gamma"), vbyte_code(F.col("df")).alias("vbyte"), text_code(F.col("term")).alias("text"))
+    return coded.select(
+        "term", F.length("gamma").alias("gamma_bits"), F.length("vbyte").alias("vbyte_bits"), F.length("text").alias("text_bits"),
+        gamma_value(F.col("gamma")).alias("from_gamma"), vbyte_value(F.col("vbyte")).alias("from_vbyte"), text_value(F.col("text")).alias("from_text"),
+    )
+
+
 BOOLEAN = {
     "boolean_and": "the AND of", "boolean_or": "les OR der", "boolean_not": "NOT the", "boolean_nested": "(the AND NOT of) OR NOT (in OR en)",
     "boolean_unknown_term": "the AND NOT qqqzzz",
@@ -186,6 +236,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tokenize_positions, doc_lengths, corpus_stats, inverted_index, doc_frequency, vocab_pruned, term_ids, postings_gaps, gamma_code_bits,
         vbyte_code_bits, term_offsets, front_coding, boolean_sets, trigram_index, edit_distance, spell_correct, idf_weights, bm25_scores,
         min_window, free_query_topk, free_query_batch, free_query_stemmed, stemmed_vocab, snippets, hits_with_content, compat_df_misaligned,
+        stored_free_query, stored_boolean, stored_tables, code_round_trip,
     )
 } | {name: _boolean(q) for name, q in BOOLEAN.items()}
 
@@ -298,7 +349,18 @@ SELECT term, prefix_len, substring(term, prefix_len + 1) AS suffix FROM k""",
         "free_query_topk": f"WITH {_ranked({0: QUERY}, True)} SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT {K}",
         "free_query_batch": f"""WITH {_ranked(BATCH, True)}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)
 SELECT query_id::BIGINT AS query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= {K}""",
-        "snippets": "SELECT doc_id, CASE WHEN strlen(text) > 150 THEN substring(text, 1, 150) || '...' ELSE text END AS snippet FROM documents WHERE doc_id IS NOT NULL",
+        "stored_free_query": f"""WITH {_ranked({0: QUERY}, True)} SELECT doc_id, doc_id::VARCHAR AS path, round(sc.score, 6) AS score, strlen(text)::INTEGER AS n_bytes
+FROM sc JOIN (SELECT doc_id, text FROM d) USING (doc_id) ORDER BY sc.score DESC, doc_id LIMIT {K}""",
+        "stored_boolean": f"""WITH {_POST}, m AS (SELECT 'thier' AS word),{_correct("m")}
+SELECT doc_id, doc_id::VARCHAR AS path, 1.0::DOUBLE AS score FROM d WHERE ({_has("the")} AND NOT {_has("of")}) OR doc_id IN (SELECT doc_id FROM t JOIN c ON term = corrected)""",
+        "stored_tables": f"""WITH {_POST}, i AS (SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS term_id FROM v),
+g AS (SELECT DISTINCT unnest(list_transform(range(1, length(term) - 1), lambda i: substring(term, i::INTEGER, 3))) AS trigram, term FROM v WHERE length(term) >= 3)
+SELECT 'docs' AS name, count(*) AS n, sum(len(ws))::BIGINT AS total FROM d UNION ALL SELECT 'postings', count(*), sum(tf + len(positions))::BIGINT FROM p
+UNION ALL SELECT 'vocab', count(*), sum(df + term_id)::BIGINT FROM i UNION ALL SELECT 'trigrams', count(*), sum(length(term))::BIGINT FROM g UNION ALL SELECT 'stats', 1, n FROM s""",
+        "code_round_trip": f"""WITH {_POST} SELECT term, {_gamma("df")}::INTEGER AS gamma_bits, {_vbyte("df")}::INTEGER AS vbyte_bits,
+({_vbyte("strlen(term)")} + 8 * strlen(term))::INTEGER AS text_bits, df AS from_gamma, df AS from_vbyte, term AS from_text FROM v""",
+        "snippets": """SELECT doc_id, CASE WHEN strlen(text) > 150 THEN left(text, list_max(list_filter(range(1, 151), lambda i: strlen(left(text, i)) <= 150))) || '...' ELSE text END AS snippet
+FROM documents WHERE doc_id IS NOT NULL""",
         "hits_with_content": f"WITH {_TOK} SELECT doc_id, text AS content, len(ws)::INTEGER AS n_tokens FROM d WHERE {_has('the')} AND NOT {_has('les')}",
         "compat_df_misaligned": f"""WITH {_POST}, f AS (SELECT term, df, row_number() OVER (ORDER BY d0, p0) AS i FROM (
   SELECT term, min(doc_id) AS d0, arg_min(pos, doc_id * 10000000 + pos) AS p0 FROM t GROUP BY term) JOIN v USING (term)),

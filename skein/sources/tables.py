@@ -1,7 +1,11 @@
-"""Schemas of the index tables and the folder for intermediate tables."""
+"""Schemas of the index tables, how they are stored, and where tables that a query needs for itself lie."""
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -16,17 +20,49 @@ SCHEMAS = {
 }
 
 
-def save(tables: dict[str, DataFrame], base: str) -> None:
-    """Each table as Parquet under base; postings by range of terms, so that row groups of other terms are skipped."""
-    for name, df in tables.items():
-        if name == "postings":
-            df = df.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
-        elif name == "trigrams":
-            df = df.repartitionByRange("trigram").sortWithinPartitions("trigram", "term")
-        elif name == "vocab":
-            df = df.repartitionByRange("term").sortWithinPartitions("term")
-        df.write.mode("overwrite").parquet(f"{base}/{name}")
+def save(name: str, df: DataFrame, base: str) -> DataFrame:
+    """One table as Parquet under base, read back; postings, trigrams and vocabulary by range of their key, so that row groups of other keys are skipped."""
+    if name == "postings":
+        df = df.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+    elif name == "trigrams":
+        df = df.repartitionByRange("trigram").sortWithinPartitions("trigram", "term")
+    elif name == "vocab":
+        df = df.repartitionByRange("term").sortWithinPartitions("term")
+    df.write.mode("overwrite").parquet(f"{base}/{name}")
+    return df.sparkSession.read.schema(SCHEMAS[name]).parquet(f"{base}/{name}")
 
 
 def load(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(schema).parquet(f"{base}/{name}") for name, schema in SCHEMAS.items()}
+
+
+_MADE: list = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir where the cluster sets it, else of this process (single-machine runs); deleted at exit."""
+    said = spark.conf.get("spark.checkpoint.dir", None)
+    if not said:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        said = tempfile.mkdtemp(prefix="skein-")
+        spark.conf.set("spark.checkpoint.dir", said)
+        _MADE.append((spark, said))
+    path = f"{said.rstrip('/')}/skein-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _MADE:
+        try:
+            if spark.sparkContext._jsc is not None:
+                delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone at exit
+            return

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,13 +51,35 @@ def test_common_prefix(spark, a, b, n):
     assert one(spark, common_prefix(F.col("a"), F.col("b")), a=a, b=b) == n
 
 
-@pytest.mark.parametrize("a, b, n", [("hello", "hello", 0), ("hello", "", 5), ("", "", 0), ("cat", "cats", 1), ("abc", "xyz", 3), ("xyhello", "ahellozz", 3)])
+@pytest.mark.parametrize("a, b, n", [("hello", "hello", 0), ("hello", "", 5), ("", "", 0), ("cat", "cats", 1), ("abc", "xyz", 3), ("xyhello", "ahellozz", 3), ("da", "b", 2), ("b", "da", 2)])
 def test_compat_distance(spark, a, b, n):
     assert one(spark, edit_distance_compat(F.col("a"), F.col("b")), a=a, b=b) == n
 
 
+def plain_compat(a, b):
+    """A table as large as both words, the shorter in rows, whose first column is filled one row late."""
+    if len(a) > len(b):
+        a, b = b, a
+    cell = {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        cell[i - 1, 0] = i - 1
+        for j in range(1, len(b) + 1):
+            best = min(cell.get((i - 1, j - 1), 0), cell.get((i, j - 1), 0), cell.get((i - 1, j), 0))
+            cell[i, j] = cell.get((i - 1, j - 1), 0) if a[i - 1] == b[j - 1] else 1 + best
+    return cell[len(a), len(b)]
+
+
+def test_compat_distance_of_random_words(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(7)))
+    pairs = [(word(), word()) for _ in range(2000)]
+    found = spark.createDataFrame(pairs, "a string, b string").select("a", "b", edit_distance_compat(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(r.d == plain_compat(r.a, r.b) for r in found)
+
+
 def test_trigrams_and_snippet(spark):
     assert one(spark, trigrams(F.col("t")), t="hell") == ["hel", "ell"] and one(spark, trigrams(F.col("t")), t="he") == []
+    assert one(spark, snippet(F.col("t")), t="x" + "é" * 100) == "x" + "é" * 74 + "..." and one(spark, snippet(F.col("t")), t="é" * 75) == "é" * 75
     assert one(spark, snippet(F.col("t")), t="x" * 151) == "x" * 150 + "..." and one(spark, snippet(F.col("t")), t="x" * 150) == "x" * 150
 
 
@@ -65,6 +89,14 @@ def test_codes(spark):
     assert spark.range(1).select(codes.gaps(F.array(*map(F.lit, (1, 3, 6)))).alias("x")).first().x == [1, 2, 3]
 
 
+def test_codes_and_back(spark):
+    df = spark.createDataFrame([(n, t) for n, t in zip((0, 1, 6, 126, 127, 16382, 16383, 2**40), ("", "a", "é", "word", "x" * 127, "x" * 200, "☃", "0"))], "n bigint, t string")
+    g, v, x = codes.gamma_code(F.col("n")), codes.vbyte_code(F.col("n")), codes.text_code(F.col("t"))
+    for r in df.select("n", "t", g.alias("g"), v.alias("v"), codes.gamma_value(g).alias("ng"), codes.vbyte_value(v).alias("nv"), codes.gamma_bits(F.col("n")).alias("lg"), codes.vbyte_bits(F.col("n")).alias("lv"), codes.text_value(x).alias("nt")).collect():
+        assert (r.n, r.n, len(r.g), len(r.v), r.t) == (r.ng, r.nv, r.lg, r.lv, r.nt)
+        assert r.n != 6 or r.g == "11011"
+
+
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 2)), max_size=12, unique=True))
 @settings(max_examples=15, deadline=None)
 def test_min_window(spark, places):

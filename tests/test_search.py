@@ -3,7 +3,7 @@ import pytest
 from skein.cli import main
 from skein.functions.analysis import Analyzer
 from skein.operators import boolean, spelling
-from skein.operators.index import build
+from skein.operators.index import build, store
 from skein.plans.engine import CACHED, Engine
 from skein.sources.ingest import from_directory, from_table
 
@@ -121,3 +121,20 @@ def test_table_rows_without_an_id_are_left_out(spark):
     df = spark.createDataFrame([(None, "a", 1), (3, None, 2)], "doc_id bigint, text string, term int")
     made = build(from_table(df), Analyzer(stem=False))
     assert made.docs.collect()[0].asDict() == {"doc_id": 3, "path": "3", "length": 0} and made.vocab.count() == 0
+
+
+def test_the_terms_of_a_free_query_reach_the_scan(engine):
+    assert "In(term, [hello,world])" in engine.free_query("hello world")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_storing_cuts_the_corpus_into_terms_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(DOCS, "doc_id bigint, path string, text string")
+    store(docs.mapInArrow(count, docs.schema), str(tmp_path / "i"), Analyzer(stem=False))
+    assert seen.value <= 2 * len(DOCS)  # lengths, and postings
