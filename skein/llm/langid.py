@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import corpus
@@ -40,7 +42,10 @@ def _grams(texts: pa.Array):
 
 
 class Model:
-    """Log-likelihoods of hashed byte trigrams by language."""
+    """Log-likelihoods of hashed byte trigrams by language.
+
+    To a document's mixture, a word is at least e**-25 times as likely in any language as in its best, so that no word alone rules one out.
+    """
 
     def __init__(self, langs: list[str], counts: np.ndarray):
         rate = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * counts.shape[1])
@@ -57,17 +62,14 @@ class Model:
 
 
 def fit(docs: DataFrame, rows: int = 4_000) -> Model:
-    """Trigram counts of at most `rows` documents that have a lang, those whose ids hash lowest; languages in order of name."""
-    chosen = (
-        docs.where("doc_id is not null and lang is not null and trim(text) <> ''")
-        .select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("bigint").alias("doc_id"))
-        .orderBy("h", "doc_id")
-        .limit(rows)
-        .select("doc_id")
-        .distinct()
-    )
+    """Trigram counts of documents that have a lang: of each language its share of `rows` (rounded up), those whose ids hash lowest; languages in order of name."""
+    known = docs.where("doc_id is not null and lang is not null and trim(text) <> ''")
+    known = known.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang")).distinct()
+    languages_ = max(1, known.select("lang").distinct().count())
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= math.ceil(rows / languages_)).select("doc_id", "lang")
     named = corpus(docs, F.col("lang").cast("string").alias("lang")).where("lang is not null")
-    sample = named.join(F.broadcast(chosen), "doc_id").select("lang", "text")
+    sample = named.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")  # some `rows` rows, one more a language at most
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -177,7 +179,7 @@ def infer(p: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
 def languages(docs: DataFrame, penalty: float = 6.0, rows: int = 4_000) -> DataFrame:
     """(doc_id, language, languages, shares, n_words) for every row of documents that has a doc_id.
 
-    Each language's byte trigrams are counted over a sample of at most `rows` documents with a known lang (see fit).
+    Each language's byte trigrams are counted over a sample of some `rows` documents with a known lang, as many of each language (see fit).
     A word's likelihood under a language is the product of its trigrams' (borders count); a document draws each word's
     language from its own proportions, which expectation-maximisation estimates. The set of languages is the one with the
     best penalised likelihood (see infer). `languages` is the set by descending share, ties by name; `shares` are the
