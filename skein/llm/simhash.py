@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import corpus, settle, small
+from .store import corpus, settle
 from .text import mix, slices, words
 
 BITS = 256
 WORDS = [f"f{i}" for i in range(BITS // 64)]
 PIVOTS = 8
-#: Unrelated fingerprints that share a coarse reference, as expected, and how many of a fingerprint's bytes divide them further.
-CELL, BYTES = 8192, 10
-#: Of more fingerprints that share one, the cells are spread over tasks.
-HOT = 8 * CELL
-#: Pairs compared at once.
-AT_ONCE = 1 << 19
+#: Fingerprints of one side that a task holds at most; more are cut into blocks, and each pair of blocks has tasks of its own.
+BLOCK = 1 << 21
+#: Pairs compared at once, so that they stay in the cache, and links that are held before they are thinned.
+AT_ONCE, HELD = 1 << 17, 1 << 18
+#: Copies of a bucket that are known to be connected aren't compared with each other if they are so many.
+CROWD = 32
 
 
 def fingerprint(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,179 +65,220 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return corpus(docs).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{f} bigint" for f in WORDS))
 
 
-def plan(n: int, near: float, recall: float) -> tuple[int, int]:
-    """Bit positions of a family of coarse references and number of families, for n fingerprints.
+def ball(bits: int, t: int) -> list[int]:
+    """All settings of so many bits with t of them at most."""
+    return [sum(1 << i for i in at) for r in range(t + 1) for at in combinations(range(bits), r)]
 
-    A family holds a reference for every setting of b positions. Unrelated fingerprints share the nearest one with
-    probability 2**-b; b grows with log2(n), so that some CELL share one. Those are divided by each of BYTES further bytes in turn, so a cell
-    holds some CELL / 256. Two that differ in the share `near` of bits share a cell if none of those bits is among the b
-    and one of the bytes has none; enough families are taken that this holds in one of them with `recall`.
-    """
-    b, off = max(1, math.ceil(math.log2(max(n, 2) / CELL))), round(near * BITS)
-    coarse = math.comb(BITS - off, b) / math.comb(BITS, b)
-    byte = math.comb(BITS - b - off, 8) / math.comb(BITS - b, 8)
-    return b, max(1, math.ceil(math.log(1 - recall) / math.log(1 - coarse * (1 - (1 - byte) ** BYTES))))
-
-
-def inner_bytes(t: int) -> list[int]:
-    """Which bytes of a fingerprint divide the coarse references of family t."""
-    return [(t * BYTES + j) % (BITS // 8) for j in range(BYTES)]
 
+def pieces(bits: int, distance: int) -> list[tuple[int, int]]:
+    """(first bit, t) of disjoint pieces of a fingerprint, of so many bits each.
 
-def coarse(nodes: DataFrame, b: int, tables: int, seed: int) -> DataFrame:
-    """(rep, f0..f3, coarse) for each family of references."""
-    rng = np.random.default_rng(seed)
-    positions = [rng.permutation([i for i in range(BITS) if i // 8 not in inner_bytes(t)])[:b] for t in range(tables)]
-
-    def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            f = np.stack([batch.column(c).to_numpy() for c in WORDS], axis=1).view(np.uint64)
-            bits = np.unpackbits(f.view(np.uint8), axis=1, bitorder="little")
-            weight = np.left_shift(np.uint64(1), np.arange(b, dtype=np.uint64))
-            at = np.empty((n, tables), np.uint64)
-            for t in range(tables):
-                at[:, t] = (bits[:, positions[t]].astype(np.uint64) @ weight) * np.uint64(tables) + np.uint64(t)
-            off = pa.array(np.arange(n + 1, dtype=np.int32) * tables)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("rep", *WORDS)] + [pa.ListArray.from_arrays(off, pa.array(at.ravel().view(np.int64)))], ["rep", *WORDS, "cells"])
-
-    kinds = ", ".join(f"{c} bigint" for c in WORDS)
-    return nodes.mapInArrow(run, f"rep bigint, {kinds}, cells array<bigint>").select("rep", *WORDS, F.explode("cells").alias("coarse"))
-
-
-def cells(spread: DataFrame, tables: int) -> DataFrame:
-    """spread with the cells of each coarse reference, one for each byte that divides it."""
-    byte = F.array(*(F.shiftrightunsigned(F.col(WORDS[i // 8]), 8 * (i % 8)).bitwiseAND(F.lit(255)) for i in range(BITS // 8)))
-    first = F.pmod(F.col("coarse"), F.lit(tables)) * BYTES
-    own = F.array(*(((first + j) % (BITS // 8)).cast("int") for j in range(BYTES)))
-    divided = F.transform(own, lambda i, j: j * 256 + F.get(F.col("bytes"), i))
-    return spread.withColumn("bytes", byte).select("rep", *WORDS, "coarse", F.explode(divided).alias("cell"))
-
-
-def links(f: np.ndarray, rep: np.ndarray, own: list[int], references: np.ndarray, distance: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of fingerprints of one coarse reference that connect what shares a cell, see near_pairs."""
+    Two fingerprints at most `distance` bits apart differ in at most t bits of at least one of the pieces: were it more in each, it
+    would be the sum of all t + 1, which is distance + 1. Without bits the only piece is empty, and any two agree in it.
+    """
+    if not bits:
+        return [(0, 0)]
+    each, more = divmod(distance + 1, BITS // bits)
+    return [(i * bits, each - (i >= more)) for i in range(BITS // bits) if each - (i >= more) >= 0]
+
+
+def plan(n: int, distance: int) -> int:
+    """The bits of a piece by which n fingerprints are compared in least time; whichever it is, no pair is lost."""
+
+    def seconds(bits: int) -> float:
+        near = [sum(math.comb(bits, r) for r in range(t + 1)) for _, t in pieces(bits, distance)]
+        return sum(6e-9 * n * n / 2 * m / 2**bits + min(n, 2**bits) * (6e-5 + 1e-6 * m) for m in near)
+
+    return min((b for b in range(19) if b == 0 or b >= 6), key=seconds)
+
+
+class Forest:
+    """Links (i, j) among n places, of which only those are kept that connect what wasn't connected."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+        self.kept: list[np.ndarray] = []
+        self.waiting: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        if len(i):
+            self.waiting.append(np.stack([i, j]))
+            self.held += len(i)
+            if self.held > HELD:
+                self.thin()
+
+    def thin(self) -> None:
+        """After it, root is the same for all that the links so far connect."""
+        if not self.held:
+            return
+        links_ = np.concatenate(self.waiting, axis=1)
+        self.waiting, self.held = [], 0
+        links_ = links_[:, self.root[links_[0]] != self.root[links_[1]]]
+        if not links_.shape[1]:
+            return
+        ends = np.sort(self.root[links_], axis=0)
+        _, one = np.unique(ends[0] * len(self.root) + ends[1], return_index=True)
+        nodes, at = np.unique(ends[:, one], return_inverse=True)
+        parent = list(range(len(nodes)))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        keep = []
+        for k, (x, y) in enumerate(at.reshape(2, -1).T.tolist()):
+            x, y = find(x), find(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                keep.append(k)
+        self.kept.append(links_[:, one[keep]])
+        to = np.arange(len(self.root))
+        to[nodes] = nodes[[find(x) for x in range(len(nodes))]]
+        self.root = to[self.root]
+
+
+def keys(f: np.ndarray, first: int, bits: int) -> np.ndarray:
+    """The piece of fingerprints (n, BITS // 64) that begins at a bit."""
+    word, shift = divmod(first, 64)
+    out = f[:, word] >> np.uint64(shift)
+    if shift + bits > 64:
+        out = out | (f[:, word + 1] << np.uint64(64 - shift))
+    return (out & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def links(f: np.ndarray, cut: int, first: int, bits: int, t: int, distance: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) of fingerprints at most distance bits apart that connect all such pairs which differ in at most t bits of a piece.
+
+    Pairs are those of one of the first `cut` fingerprints and one of the others, or, if those are all, any two. The first of a bucket (those that
+    agree in the piece) is its hub, to which those near it are linked at once. So m near copies don't give m**2 pairs: a
+    crowd that is known to be connected isn't compared with itself.
+    """
     n = len(f)
-    octets = f.view(np.uint8).reshape(n, -1)
+    whole = cut == n
+    forest = Forest(n)
+    references = f[:PIVOTS]
     table = np.stack([np.bitwise_count(f ^ p).sum(axis=1) for p in references], axis=1).astype(np.int16)  # the pivot distance table
-    found = []
-    for column in own:
-        order = np.argsort(octets[:, column], kind="stable")
-        key = octets[order, column]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        begin = np.flatnonzero(new)
-        size = np.diff(np.append(begin, n))
-        hub = np.repeat(order[begin], size)
-        linked = np.bitwise_count(f[order] ^ f[hub]).sum(axis=1) <= distance
-        near = linked & ~new
-        found.append(np.minimum(order[near], hub[near]) * n + np.maximum(order[near], hub[near]))
-        at = np.flatnonzero(~linked)
-        begin, size = np.repeat(begin, size)[at], np.repeat(size, size)[at]
-        ends, lo = np.cumsum(size), 0
-        while lo < len(at):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, "right")))
-            m = size[lo:hi]
-            x = np.repeat(at[lo:hi], m)
-            y = np.repeat(begin[lo:hi] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            keep = linked[y] | (x < y)
-            x, y = order[x[keep]], order[y[keep]]
-            close = np.abs(table[x] - table[y]).max(axis=1) <= radius
-            x, y = x[close], y[close]
-            true = np.bitwise_count(f[x] ^ f[y]).sum(axis=1) <= distance
-            found.append(np.minimum(x[true], y[true]) * n + np.maximum(x[true], y[true]))
-            lo = hi
-    both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return both // n, both % n
-
-
-def pairs_within(spread: DataFrame, tables: int, references: list[list[int]], distance: int, radius: int) -> DataFrame:
-    """(a, b) for the coarse references that one task can hold."""
-    pivots_ = np.array(references, np.int64).view(np.uint64)
-
-    def work(held):
-        table = pa.Table.from_batches(held).combine_chunks()
-        rep = table.column("rep").to_numpy()
-        f = np.stack([table.column(c).to_numpy() for c in WORDS], axis=1).view(np.uint64)
-        order = np.lexsort((*f.T, rep, mix(rep.view(np.uint64))))
-        rep, f = rep[order], f[order]
-        i, j = links(f, rep, inner_bytes(int(table.column("coarse")[0].as_py()) % tables), pivots_, distance, radius)
-        differ = rep[i] != rep[j]
-        a, b = rep[i][differ], rep[j][differ]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    key = keys(f, first, bits)
+    x_of, y_of = (np.argsort(key, kind="stable"),) * 2 if whole else (np.argsort(key[:cut], kind="stable"), cut + np.argsort(key[cut:], kind="stable"))
+    x_begin, y_begin = (np.searchsorted(key[o], np.arange((1 << bits) + 1)) for o in (x_of, y_of))
+    far = sorted(range(BITS // 64), key=lambda w: (w == first // 64, w == (first + max(bits, 1) - 1) // 64))  # words without the piece say more
+    words_ = [np.ascontiguousarray(f[y_of, w]) for w in far[:2]]
+
+    def near(i, j):
+        close = np.abs(table[i] - table[j]).max(axis=1) <= radius
+        i, j = i[close], j[close]
+        true = (np.bitwise_count(f[i] ^ f[j]).sum(axis=1) <= distance) & (i != j)
+        return i[true], j[true]
+
+    def compare(x, y, ywords):
+        """Links between places x and places y, whose first words are given."""
+        step = max(1, AT_ONCE // max(1, len(y)))
+        for lo in range(0, len(x) if len(y) else 0, step):
+            mine = f[x[lo : lo + step]]
+            d = np.bitwise_count(mine[:, far[0], None] ^ ywords[0])
+            d += np.bitwise_count(mine[:, far[1], None] ^ ywords[1])
+            hit = np.flatnonzero(d <= distance)
+            if len(hit):
+                forest.add(*near(x[lo + hit // len(y)], y[hit % len(y)]))
+
+    masks = np.array(ball(bits, t))
+    filled = np.flatnonzero(np.diff(x_begin))
+    hubs = y_of[np.minimum(y_begin[:-1], len(y_of) - 1)]
+    for m in masks:  # hubs of near buckets, and the first of all: those of their own
+        if m == 0:
+            own = key[x_of]
+            has = y_begin[own + 1] > y_begin[own]
+            forest.add(*near(x_of[has], hubs[own[has]]))
+        else:
+            at = filled[y_begin[(filled ^ m) + 1] > y_begin[filled ^ m]]
+            forest.add(*near(x_of[x_begin[at]], hubs[at ^ m]))
+    if not whole:
+        other = x_of[np.minimum(x_begin[:-1], len(x_of) - 1)]
+        has = x_begin[key[y_of] + 1] > x_begin[key[y_of]]
+        forest.add(*near(other[key[y_of[has]]], y_of[has]))
+    forest.thin()
+    for v in filled.tolist():
+        to = v ^ masks
+        if whole:
+            to = to[to >= v]
+        begin, size = y_begin[to], y_begin[to + 1] - y_begin[to]
+        at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+        x, y = x_of[x_begin[v] : x_begin[v + 1]], y_of[at]
+        ywords = [w[at] for w in words_]
+        if len(x) >= CROWD:
+            kind, many = np.unique(forest.root[x], return_counts=True)
+            if many.max() >= CROWD:
+                crowd = forest.root[x] == kind[many.argmax()]
+                others = forest.root[y] != kind[many.argmax()]
+                compare(x[crowd], y[others], [w[others] for w in ywords])
+                x = x[~crowd]
+        compare(x, y, ywords)
+    forest.thin()
+    i, j = np.concatenate(forest.kept, axis=1) if forest.kept else np.zeros((2, 0), np.int64)
+    return i, j
+
+
+def near_pairs(nodes: DataFrame, n: int, distance: int, radius: int, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a, b) of fingerprints at most distance bits apart, which connect all such pairs; n: how many fingerprints.
+
+    Exact: each pair is compared in the task of a piece in which it must nearly agree (see pieces and links). A task holds all
+    fingerprints, or two blocks of them, and gives a forest, so pairs are fewer than fingerprints times pieces times blocks.
+    """
+    bits = plan(min(n, block), distance)
+    parts, count = pieces(bits, distance), max(1, math.ceil(n / block))
+    held = [(a, b) for a in range(count) for b in range(a, count)]  # the blocks of a task
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
+    def spread(batches):
         for batch in batches:
-            key = batch.column("coarse").to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]) if len(key) else [0]
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                if held and held[0].column("coarse")[0].as_py() != key[lo]:
-                    yield work(held)
-                    held = []
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield work(held)
+            rows = np.stack([batch.column(c).to_numpy() for c in ("rep", *WORDS)], axis=1)
+            own = mix(rows[:, 0].copy().view(np.uint64), 1) % np.uint64(count)
+            for a in np.unique(own).tolist():
+                data = rows[own == a].tobytes()
+                for k, two in enumerate(held):
+                    if a in two:
+                        side = int(a != two[0])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([k * len(parts) + i for i in range(len(parts))], pa.int32()), pa.array([side] * len(parts), pa.int32()), pa.array([data] * len(parts), pa.binary())],
+                            ["task", "side", "data"],
+                        )
 
-    return spread.repartition("coarse").sortWithinPartitions("coarse").mapInArrow(run, "a bigint, b bigint")
-
-
-def hamming(a: list[Column], b: list[Column]) -> Column:
-    first, *rest = (F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b))
-    return sum(rest, first)
-
-
-def pivots(nodes: DataFrame) -> list[list[int]]:
-    """PIVOTS reference fingerprints: those of the corpus whose rep hashes lowest, all if it has no more."""
-    chosen = nodes.orderBy(F.xxhash64("rep"), "rep", *WORDS).limit(PIVOTS).select(*WORDS)
-    return [list(r) for r in chosen.collect()]
-
-
-def near_pairs(nodes: DataFrame, n: int, distance: int, radius: int, near: float, recall: float, seed: int) -> DataFrame:
-    """Distinct pairs (a, b) of fingerprints at most distance bits apart, which connect all such pairs that share a cell; n: how many fingerprints.
-
-    The first of a cell, in an order by hash, is its hub. Those near the hub are linked to it and need no pairs among
-    themselves; the others are compared with the whole cell. So m near copies give about m pairs, not m**2.
-    """
-    b, tables = plan(n, near, recall)
-    references = pivots(nodes)
-    spread = coarse(nodes, b, tables, seed)
-    sizes = settle(spread.groupBy("coarse").count().where(F.col("count") > HOT).select("coarse"))
-    hot = [] if sizes.isEmpty() else [pairs_of_cells(cells(spread.join(small(sizes), "coarse", "left_semi"), tables), references, distance, radius)]
-    found = pairs_within(spread.join(small(sizes), "coarse", "left_anti") if hot else spread, tables, references, distance, radius)
-    for more in hot:
-        found = found.union(more)
-    return found.distinct()
-
-
-def pairs_of_cells(found: DataFrame, references: list[list[int]], distance: int, radius: int) -> DataFrame:
-    """(a, b) for cells of any size: a hub is found as rows stream by, and only what isn't near it is joined."""
-    own = [F.col(f) for f in WORDS]
-    order = Window.partitionBy("coarse", "cell").orderBy(F.xxhash64("rep"), "rep", *WORDS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = found.withColumn("hub", F.first(F.struct("rep", *WORDS)).over(order)).select(
-        "coarse", "cell", "rep", *WORDS, F.col("hub.rep").alias("hub"), (hamming(own, [F.col(f"hub.{f}") for f in WORDS]) <= distance).alias("linked"),
-        F.array(*(hamming(own, [F.lit(x) for x in p]) for p in references)).alias("table"),  # the row of the pivot distance table
-    )
-    x, y = placed.where("not linked or rep = hub").alias("x"), placed.alias("y")
-    close = F.abs(F.col("x.table")[0] - F.col("y.table")[0]) <= radius
-    for i in range(1, len(references)):
-        close = close & (F.abs(F.col("x.table")[i] - F.col("y.table")[i]) <= radius)
-    verified = hamming([F.col(f"x.{f}") for f in WORDS], [F.col(f"y.{f}") for f in WORDS]) <= distance
-    same = (F.col("x.coarse") == F.col("y.coarse")) & (F.col("x.cell") == F.col("y.cell"))
-    both = y.join(x, same & (F.col("x.rep") != F.col("y.rep")) & (F.col("y.linked") | (F.col("x.rep") < F.col("y.rep"))) & close & verified)
-    return both.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-
-
-def near_duplicates(docs: DataFrame, distance: int = 42, radius: int | None = None, near: float | None = None, recall: float = 0.95, seed: int = 7) -> DataFrame:
+    def run(batches):
+        sides: list[list[bytes]] = [[], []]
+        task = None
+        for batch in batches:
+            for t, side, data in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "data"))):
+                task = t
+                sides[side].append(data)
+        if task is None:
+            return
+        k, i = divmod(task, len(parts))
+        (a, b), (first, t) = held[k], parts[i]
+        x, y = (np.frombuffer(b"".join(s), np.int64).reshape(-1, 1 + len(WORDS)) for s in sides)
+        x, y = (s[np.lexsort((*s.T, mix(s[:, 0].copy().view(np.uint64))))] for s in (x, y))
+        if a != b and not (len(x) and len(y)):
+            return
+        rows = np.concatenate([x, y])
+        i, j = links(np.ascontiguousarray(rows[:, 1:]).view(np.uint64), len(x), first, bits, t, distance, radius)
+        a, b = rows[i, 0], rows[j, 0]
+        differ = a != b
+        a, b = a[differ], b[differ]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    sent = nodes.mapInArrow(spread, "task int, side int, data binary")
+    return sent.repartitionById(len(held) * len(parts), "task").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def near_duplicates(docs: DataFrame, distance: int = 42, radius: int | None = None) -> DataFrame:
     """(doc_id, kept_doc_id) for every document that goes as a near copy; kept_doc_id is the least id of its group.
 
     A document's 256-bit SimHash takes the majority of the hashes of its set of words. Two documents are near copies
     where their fingerprints differ in at most `distance` bits; groups are connected components of near copies. Equal
-    fingerprints are one node, so thousands of exact copies cost one. Candidates share the nearest reference
-    fingerprint of one of several families, and one of some bytes more (see plan). Of the others in its cell, a table of distances to PIVOTS reference fingerprints of the
-    corpus discards those whose largest coordinate difference exceeds `radius`; survivors are verified by their Hamming
-    distance. The default radius, `distance`, discards no true pair (triangle inequality). `recall` is the share of pairs at `near` of the bits that the
-    families find; by default they are planned for pairs at `distance`, and closer ones are found more often.
+    fingerprints are one node, so thousands of exact copies cost one. No link is lost: pieces of a fingerprint in which two near
+    copies must nearly agree give the candidates (see pieces). A table of distances to PIVOTS reference fingerprints
+    discards those whose largest coordinate difference exceeds `radius`; survivors are verified by their Hamming
+    distance. The default radius, `distance`, discards no true pair (triangle inequality); a lesser one would.
 
     Null and empty texts and texts without a word have no fingerprint and are no copies of each other. Texts are read whole, however long. Rows without
     doc_id take no part. Repeated rows of one doc_id count once; texts that share a doc_id share its group. Ties don't
@@ -247,7 +289,6 @@ def near_duplicates(docs: DataFrame, distance: int = 42, radius: int | None = No
     n = nodes.count()
     if not n:
         return f.select("doc_id", F.col("doc_id").alias("kept_doc_id"))
-    radius, near = distance if radius is None else radius, distance / BITS if near is None else near
-    pairs = near_pairs(nodes, n, distance, radius, near, recall, seed)
+    pairs = near_pairs(nodes, n, distance, distance if radius is None else radius)
     copies = f.join(nodes, WORDS).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     return components(copies.union(pairs)).where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"))
