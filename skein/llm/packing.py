@@ -18,9 +18,9 @@ K1, B = 1.2, 0.75
 STEP = 20
 #: So many documents, or the last ones of a larger corpus, are packed one seed after another; the others in rounds.
 ALONE = 2048
-#: In a round one of so many unused documents is a seed, and the index returns to it so many neighbours of each class of length.
+#: In a round one of so many unused documents is a seed at most, and the index returns to it so many neighbours of each class of length at a time.
 PART, DEPTH = 32, 8
-#: Seeds that are asked for by one job, documents of a block, and tasks beyond which answers are merged by tasks and not by the driver; matters of speed alone.
+#: Seeds that begin in one round at most, documents of a block, and tasks beyond which answers are merged by tasks and not by the driver; matters of speed alone.
 SEEDS, BLOCK, MERGED = 1024, 2048, 64
 #: Documents that are sorted by their commonest terms before they are cut into blocks.
 SORTED = 16_384
@@ -266,21 +266,20 @@ class Best:
 
 
 def ask(index: DataFrame, unused: np.ndarray, seeds: np.ndarray, left: np.ndarray, asked: list[np.ndarray], idf: np.ndarray) -> list[np.ndarray]:
-    """(seed, number) of the unused documents that can follow the seeds (numbers with room for left words and their terms).
+    """(seed, number, score, kind) of the unused documents that can follow the seeds (numbers with room for left words and their terms).
 
     By seed, descending score and number: of each class of length the DEPTH best that score above 0.
     """
     bits, total, depth = np.packbits(unused), len(unused), DEPTH
     commonest = np.array([t[np.argmin(idf[t])] if len(t) else -1 for t in asked])
-    by = np.lexsort((seeds, commonest))  # seeds of one language beside each other
+    by = np.lexsort((seeds, commonest, kinds(left)))  # seeds of one room and language beside each other
     vocabulary = np.unique(np.concatenate(asked))
     parts = []
     for at in range(0, len(by), 512):
         groups = []
         for lo in range(at, min(at + 512, len(by)), 256):
             mine = by[lo : min(lo + 256, at + 512)]
-            size = np.array([len(asked[i]) for i in mine])
-            groups.append((len(mine), np.repeat(np.arange(len(mine)), size), np.searchsorted(vocabulary, np.concatenate([asked[i] for i in mine])).astype(np.int32)))
+            groups.append((np.array([len(asked[i]) for i in mine]), np.searchsorted(vocabulary, np.concatenate([asked[i] for i in mine])).astype(np.int32)))
         parts.append((seeds[by[at : at + 512]], left[by[at : at + 512]], groups))
 
     def run(batches):
@@ -288,6 +287,7 @@ def ask(index: DataFrame, unused: np.ndarray, seeds: np.ndarray, left: np.ndarra
         column = np.full(1 << BITS, -1, np.int32)
         column[vocabulary] = np.arange(len(vocabulary))
         best = [Best(len(after), depth) for after, _, _ in parts]
+        wide = [(after, room, [(len(size), np.repeat(np.arange(len(size)), size), terms) for size, terms in groups]) for after, room, groups in parts]
         first, widest = min(after.min() for after, _, _ in parts), max(room.max() for _, room, _ in parts)
         for batch in batches:
             for row in range(batch.num_rows):
@@ -295,13 +295,16 @@ def ask(index: DataFrame, unused: np.ndarray, seeds: np.ndarray, left: np.ndarra
                 live = free[number] & (number > first) & (rest <= widest)
                 term = column[term]
                 hit = (term >= 0) & live[doc]
-                place = np.cumsum(live) - 1
-                number, rest, doc, term, weight = number[live], rest[live], place[doc[hit]], term[hit], weight[hit].astype(np.float64)
-                if not len(number):
-                    continue
-                held = np.bincount(term, minlength=len(vocabulary))
-                for (after, room, groups), found in zip(parts, best):
-                    s = scores(len(number), doc, term, weight, groups, held)
+                of_all = _kept(number, rest, doc[hit], term[hit], weight[hit].astype(np.float64), live)
+                for (after, room, groups), found in sorted(zip(wide, best), key=lambda x: -x[0][1].max()):
+                    number, rest, doc, term, weight = of_all
+                    fits = rest <= room.max()
+                    if not fits.all():
+                        hit = fits[doc]
+                        of_all = number, rest, doc, term, weight = _kept(number, rest, doc[hit], term[hit], weight[hit], fits)
+                    if not len(number):
+                        break
+                    s = scores(len(number), doc, term, weight, groups, np.bincount(term, minlength=len(vocabulary)))
                     if number.min() <= after.max():
                         s[number[None, :] <= after[:, None]] = 0
                     if rest.max() > room.min():
@@ -321,7 +324,7 @@ def ask(index: DataFrame, unused: np.ndarray, seeds: np.ndarray, left: np.ndarra
     answers = index.coalesce(tasks).mapInArrow(run, kinds_)
     if tasks > MERGED:
         answers = answers.repartition(max(1, tasks // 8), "seed").mapInArrow(merge, kinds_)
-    return best_of(answers.toArrow(), depth)[:2]
+    return best_of(answers.toArrow(), depth)
 
 
 def best_of(answers: pa.Table, depth: int) -> list[np.ndarray]:
@@ -335,34 +338,54 @@ def best_of(answers: pa.Table, depth: int) -> list[np.ndarray]:
     return [x[order] for x in (seed, number, score, kind)]
 
 
+def follow(members: list[int], room: int, unused: np.ndarray, rest: np.ndarray, number: np.ndarray, kind: np.ndarray) -> tuple[int, bool]:
+    """Adds to the members what follows by descending score; returns the room left, and whether the window is done.
+
+    number, kind: the answer for its seed. A class with DEPTH answers may have more, all of which come after its last. So as soon as the last
+    of a class has passed of which more can fit, the next best isn't certain, and the window must ask again.
+    """
+    count: dict[int, int] = {}
+    passed = 1 << 62  # the least length of a class that may have more
+    for n, c in zip(number.tolist(), kind.tolist()):
+        if passed <= room:
+            return room, False
+        size = int(rest[n])
+        if size <= room and unused[n]:
+            members.append(n)
+            unused[n] = False
+            room -= size
+        count[c] = count.get(c, 0) + 1
+        if count[c] == DEPTH:
+            passed = min(passed, 1 << (c - 1))
+    return room, passed > room
+
+
 def rounds(placed: DataFrame, index: DataFrame, ids: np.ndarray, rest: np.ndarray, idf: np.ndarray, window: int) -> list[list[int]]:
     """The windows of a corpus, as lists of numbers; rest are the lengths by number, ids their ids in placed. See pack."""
     unused = rest > 0
     out: list[list[int]] = []
+    open_: list[tuple[list[int], int, np.ndarray]] = []  # members, room and terms of the seed, by ascending seed
     held, alive = index, int(unused.sum())
     rows = alive
-    while alive > ALONE:
-        free, round_ = unused.copy(), np.flatnonzero(unused)[: math.ceil(alive / PART)]
-        for at in range(0, len(round_), SEEDS):
-            seeds = round_[at : at + SEEDS]
-            left = window - rest[seeds]
-            seed, number = ask(held, free, seeds, left, terms_of(placed, ids, seeds)[0], idf)
-            begin = np.searchsorted(seed, np.arange(len(seeds) + 1))
-            for k, s in enumerate(seeds.tolist()):
-                if not unused[s]:
+    while alive > ALONE or open_:
+        seeds = np.flatnonzero(unused)[: min(SEEDS, math.ceil(alive / PART)) if alive > ALONE else 0]
+        terms = terms_of(placed, ids, seeds)[0] if len(seeds) else []
+        asking = open_ + [([s], window - int(rest[s]), t) for s, t in zip(seeds.tolist(), terms)]
+        seed, number, _, kind = ask(held, unused, np.array([m[0] for m, _, _ in asking]), np.array([room for _, room, _ in asking]), [t for _, _, t in asking], idf)
+        begin = np.searchsorted(seed, np.arange(len(asking) + 1))
+        was, open_ = len(open_), []
+        for k, (members, room, t) in enumerate(asking):
+            if k >= was:
+                if not unused[members[0]]:
                     continue
-                unused[s] = False
-                members, room = [s], int(left[k])
-                fits = number[begin[k] : begin[k + 1]]
-                fits = fits[unused[fits]]
-                while len(fits := fits[rest[fits] <= room]):
-                    members.append(int(fits[0]))
-                    room -= int(rest[fits[0]])
-                    fits = fits[1:]
-                unused[members] = False
+                unused[members[0]] = False
+            room, done = follow(members, room, unused, rest, number[begin[k] : begin[k + 1]], kind[begin[k] : begin[k + 1]])
+            if done:
                 out.append(members)
+            else:
+                open_.append((members, room, t))
         alive = int(unused.sum())
-        if ALONE < alive < 0.6 * rows:
+        if 0 < alive < 0.6 * rows:
             held, old, rows = settle(_only(held, np.packbits(unused), len(unused))), held, alive
             if old is not index:
                 release(old)
@@ -380,7 +403,7 @@ def terms_of(placed: DataFrame, ids: np.ndarray, numbers: np.ndarray) -> tuple[l
     """Terms and weights of some documents, at most ALONE or SEEDS of them, in the order of their numbers given."""
     wanted = ids[numbers]
     listed = ", ".join(map(str, wanted.tolist()))
-    got = placed.where(f"id between {wanted.min()} and {wanted.max()} and id in ({listed})").select("id", "terms", "weights").toArrow()
+    got = placed.where(f"id in ({listed})").select("id", "terms", "weights").toArrow()
     order = np.argsort(got.column("id").to_numpy())
     place = order[np.searchsorted(got.column("id").to_numpy(), wanted, sorter=order)]
     out = []
@@ -409,6 +432,11 @@ def _only(index: DataFrame, bits: np.ndarray, total: int) -> DataFrame:
 BLOCKED = {"number": np.int64, "rest": np.int64, "doc": np.uint16, "term": np.int32, "weight": np.int32}
 
 
+def _kept(number, rest, doc, term, weight, live) -> tuple[np.ndarray, ...]:
+    """A block without the documents that aren't live; the postings given are of live ones."""
+    return number[live], rest[live], (np.cumsum(live) - 1)[doc], term, weight
+
+
 def _row(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([packed(c.astype(t), np.array([0, len(c)])) for c, t in zip(columns, BLOCKED.values())], list(BLOCKED))
 
@@ -487,10 +515,12 @@ def pack(docs: DataFrame, window: int = 2048, shard_docs: int | None = None) ->
     """(window_id, place, doc_id, start_word, n_words): which words of which document stand where in which window.
 
     A window holds `window` words. The documents are numbered by ascending doc_id. In a round, the first unused ones are
-    seeds, one PARTth of them. Each asks the whole index for its unused neighbours: of each class of length (the number of its
-    bits), the DEPTH documents that come after it, fit its window and have the highest BM25 (k1 1.2, b 0.75) for its distinct words, above 0; ties by number.
-    Then the seeds that no other has taken, in order, take those that are still unused by descending score as long as they
-    fit. What isn't taken stays for the next round. The last ALONE documents, and a corpus of no more, are packed one seed
+    seeds of new windows, one PARTth of the unused and SEEDS at most. They and the windows still open, by ascending seed, ask the whole index for their unused
+    neighbours: of each class of length (the number of its bits), the DEPTH documents that come after the seed, fit what room is left and have the
+    highest BM25 (k1 1.2, b 0.75) for its distinct words, above 0; ties by number. Then the windows in turn take those that are still
+    unused by descending score as long as they fit. Where a document beyond the DEPTH of a class could be the next, the window
+    stays open and asks again in the next round, of what is unused then. So a window takes the best of all unused documents at every step, and is done
+    only when none of them that scores above 0 fits. The last ALONE documents, and a corpus of no more, are packed one seed
     after another, from all of their neighbours. Every pair of a seed and an unused document is scored, so the work is
     quadratic. Only if `shard_docs` is given are the documents spread by the hash of their doc_id over shards of about so
     many that don't see each other, each packed one seed after another. Every word of every document is in one window. A document of `window` words and more fills windows of

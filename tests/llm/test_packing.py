@@ -31,24 +31,45 @@ def brute(texts, shard_of, window):
                 out.add(((i, p * window, window),))
         unused = [i for i in mine if length[i] % window]
         score_of = lambda seed, of: {d: sum(weight(t, d) for t in terms[seed] if t in terms[d]) for d in of}
-        while unused:
-            seeds, depth = (unused[:1], None) if len(unused) <= packing.ALONE else (unused[: math.ceil(len(unused) / packing.PART)], packing.DEPTH)
+        rows = lambda chosen: tuple((d, length[d] - length[d] % window, length[d] % window) for d in chosen)
+        begun = []  # windows that may have more, in rounds
+        while len(unused) > packing.ALONE or begun:
             free = list(unused)
-            for seed in seeds:
-                if seed not in unused:
-                    continue
-                unused.remove(seed)
-                left, chosen, seen = window - length[seed] % window, [seed], Counter()
-                score = score_of(seed, [d for d in free if d > seed])
+            new = unused[: min(packing.SEEDS, math.ceil(len(unused) / packing.PART))] if len(unused) > packing.ALONE else []
+            turn, begun = begun + [[d] for d in new], []
+            for chosen in turn:
+                if len(chosen) == 1 and chosen[0] in new:
+                    if chosen[0] not in unused:
+                        continue
+                    unused.remove(chosen[0])
+                room = left = window - sum(length[d] % window for d in chosen)
+                score = score_of(chosen[0], [d for d in free if d > chosen[0]])
+                seen, more = Counter(), lambda: any(n >= packing.DEPTH and 2 ** (c - 1) <= left for c, n in seen.items())  # noqa: B023
                 for d in sorted(score, key=lambda d: (-score[d], d)):
                     rest = length[d] % window
-                    if score[d] > 0 and rest <= window - length[seed] % window:
+                    if score[d] > 0 and rest <= room and seen[rest.bit_length()] < packing.DEPTH:
+                        if more():
+                            break
                         seen[rest.bit_length()] += 1
-                        if (depth is None or seen[rest.bit_length()] <= depth) and d in unused and rest <= left:
+                        if d in unused and rest <= left:
                             left -= rest
                             chosen.append(d)
-                unused = [d for d in unused if d not in chosen]
-                out.add(tuple((d, length[d] - length[d] % window, length[d] % window) for d in chosen))
+                            unused.remove(d)
+                if more():
+                    begun.append(chosen)
+                else:
+                    assert not [d for d in unused if score.get(d, 0) > 0 and length[d] % window <= left]
+                    out.add(rows(chosen))
+        while unused:
+            chosen = [unused.pop(0)]
+            left = window - length[chosen[0]] % window
+            score = score_of(chosen[0], unused)
+            for d in sorted(unused, key=lambda d: (-score[d], d)):
+                if score[d] > 0 and length[d] % window <= left:
+                    left -= length[d] % window
+                    chosen.append(d)
+                    unused.remove(d)
+            out.add(rows(chosen))
     return out
 
 
@@ -112,3 +133,12 @@ def test_copies_of_a_large_corpus_share_a_window(spark):
         texts[i + 1] = texts[i]
     of = {r.doc_id: r.window_id for r in packing.pack(corpus(spark, texts), 60).collect()}
     assert len(of) == 2600 and sum(of[i] == of[i + 1] for i in range(0, 2600, 2)) >= 0.9 * 1300
+
+
+def test_windows_take_more_neighbours_than_an_answer_holds(spark, monkeypatch):
+    """80 documents of 10 words that share one: windows of 60 words are full, though an answer holds 2 of a class of length."""
+    for name, value in {"ALONE": 4, "SEEDS": 3, "PART": 12, "DEPTH": 2}.items():
+        monkeypatch.setattr(packing, name, value)
+    texts = {i: "shared " + " ".join(f"v{i}x{j}" for j in range(9)) for i in range(80)}
+    sizes = Counter(r.window_id for r in packing.pack(corpus(spark, texts), 60).collect())
+    assert sum(sizes.values()) == 80 and sum(n == 6 for n in sizes.values()) >= 12, sizes
