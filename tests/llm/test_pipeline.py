@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -94,3 +95,12 @@ def test_stages_equal_brute_force(spark, tmp_path):
     clean = {i: t for i, t in cut.items() if not any(runs(words(t), words(u), 13) for u in items.values())}
     assert len(clean) < len(cut) and read(got[3]) == clean
     assert windows(got[4]) == packed(clean, dict.fromkeys(clean, 0), 2048)
+
+
+def test_the_last_stage_drops_no_neighbour(spark, monkeypatch):
+    """80 documents of 341 words that share one: six fill a window, though an answer holds 2 of a class of length."""
+    for name, value in {"ALONE": 4, "SEEDS": 3, "PART": 12, "DEPTH": 2}.items():
+        monkeypatch.setattr(packing, name, value)
+    docs = corpus(spark, {i: "shared " + " ".join(f"v{i}x{j}" for j in range(340)) for i in range(80)})
+    sizes = Counter(r.window_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect())
+    assert sum(sizes.values()) == 80 and sum(n == 6 for n in sizes.values()) >= 12, sizes
