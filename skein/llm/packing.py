@@ -25,7 +25,9 @@ SEEDS, BLOCK, MERGED = 1024, 2048, 64
 #: Documents that are sorted by their commonest terms before they are cut into blocks.
 SORTED = 16_384
 #: A term's column is dense in a block where that is cheaper than its postings: so many multiplications take the time of one posting.
-DENSE = 500
+DENSE = 250
+#: Postings that are added up at once.
+POSTINGS = 1 << 15
 
 
 def packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -182,49 +184,59 @@ def blocked(number, rest, first, terms, weight, idf):
         yield number[mine], rest[mine], doc[o], terms[x][o], weight[x][o]
 
 
-def scores(n_docs: int, doc, term, weight, groups, held) -> np.ndarray:
-    """BM25 (seeds, documents) of a block's postings, which are in order of term.
-
-    groups: of consecutive seeds (count, owner, term) with the pairs of a seed's place in its group and a term it holds;
-    terms number the columns of held, how many of the postings each has.
-    """
-    begin = np.concatenate([[0], np.cumsum(held)])
-    common = np.flatnonzero(held > n_docs // 24)  # no other column can be worth it
-    place = np.full(len(held), -1, np.int64)
-    place[common] = np.arange(len(common))
-    wide = place[term] >= 0
-    dense = np.zeros((len(common), n_docs))
-    dense[place[term[wide]], doc[wide]] = weight[wide]
-    out = np.zeros((sum(c for c, _, _ in groups), n_docs))
-    at = 0
-    for count, owner, asked in groups:
-        mine = out[at : at + count]
-        at += count
-        col = place[asked]
-        asks = np.bincount(col[col >= 0], minlength=len(common))
-        worth = np.flatnonzero(asks * held[common] * DENSE > count * n_docs)
-        if len(worth):
-            own = np.full(len(common) + 1, -1, np.int64)
-            own[worth] = np.arange(len(worth))
-            col = own[col]  # -1 stays -1
-            asks = col >= 0
-            has = np.zeros((count, len(worth)))
-            has[owner[asks], col[asks]] = 1
-            np.matmul(has, dense[worth], out=mine)
-            owner, asked = owner[~asks], asked[~asks]
-        many = held[asked]
-        some = many > 0
-        owner, asked, many = owner[some], asked[some], many[some]
-        ends = np.cumsum(many)
-        flat = mine.reshape(-1)
-        lo = 0
-        while lo < len(many):  # so many postings at once that their places stay in the cache
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 500_000, "right")))
-            n = many[lo:hi]
-            x = np.repeat(begin[asked[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            flat += np.bincount(np.repeat(owner[lo:hi] * n_docs, n) + doc[x], weight[x], minlength=len(flat))
-            lo = hi
-    return out
+class Block:
+    """Postings of a block's documents, in order of term, made ready for any number of seeds; terms number the columns of held, how many of the postings each has."""
+
+    def __init__(self, n_docs: int, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, vocabulary: int):
+        self.n, self.doc, self.weight = n_docs, doc, weight
+        self.held = np.bincount(term, minlength=vocabulary)
+        self.begin = np.concatenate([[0], np.cumsum(self.held)])
+        self.common = np.flatnonzero(self.held > n_docs // 24)  # no other column can be worth it
+        self.place = np.full(vocabulary, -1, np.int64)
+        self.place[self.common] = np.arange(len(self.common))
+        column = self.place[term]
+        wide = np.flatnonzero(column >= 0)
+        self.dense = np.zeros((len(self.common), n_docs))
+        self.dense[column[wide], doc[wide]] = weight[wide]
+
+    def scores(self, groups) -> np.ndarray:
+        """BM25 (seeds, documents) of the block for groups of consecutive seeds.
+
+        A group (count, owner, term) has the pairs of a seed's place in its group and a term it holds, by place.
+        """
+        out = np.zeros((sum(c for c, _, _ in groups), self.n))
+        at = 0
+        for count, owner, asked in groups:
+            mine = out[at : at + count]
+            at += count
+            some = np.flatnonzero(self.held[asked])
+            owner, asked = owner[some], asked[some]
+            col = self.place[asked]
+            asks = np.bincount(col + 1, minlength=len(self.common) + 1)[1:]
+            worth = np.flatnonzero(asks * self.held[self.common] * DENSE > count * self.n)
+            if len(worth):
+                own = np.full(len(self.common) + 1, -1, np.int64)
+                own[worth] = np.arange(len(worth))
+                col = own[col]  # -1 stays -1
+                asks = col >= 0
+                has = np.zeros((count, len(worth)))
+                has[owner[asks], col[asks]] = 1
+                np.matmul(has, self.dense[worth], out=mine)
+                owner, asked = owner[~asks], asked[~asks]
+            begin, many = self.begin[asked], self.held[asked]
+            ends = np.cumsum(many)
+            lo = 0
+            while lo < len(many):  # so many postings at once that what is made of them stays in the cache
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + POSTINGS, "right")))
+                n, top = many[lo:hi], int(owner[lo])
+                x = np.repeat(begin[lo:hi] - (ends[lo:hi] - n - (ends[lo] - n[0])), n)
+                x += np.arange(len(x))
+                to = np.repeat((owner[lo:hi] - top) * self.n, n)
+                to += self.doc[x]
+                rows = mine[top : int(owner[hi - 1]) + 1]
+                rows += np.bincount(to, self.weight[x], minlength=rows.size).reshape(rows.shape)
+                lo = hi
+        return out
 
 
 class Best:
@@ -295,16 +307,18 @@ def ask(index: DataFrame, unused: np.ndarray, seeds: np.ndarray, left: np.ndarra
                 live = free[number] & (number > first) & (rest <= widest)
                 term = column[term]
                 hit = (term >= 0) & live[doc]
-                of_all = _kept(number, rest, doc[hit], term[hit], weight[hit].astype(np.float64), live)
+                number, rest, doc, term, weight = _kept(number, rest, doc[hit], term[hit], weight[hit].astype(np.float64), live)
+                block = None
                 for (after, room, groups), found in sorted(zip(wide, best), key=lambda x: -x[0][1].max()):
-                    number, rest, doc, term, weight = of_all
                     fits = rest <= room.max()
                     if not fits.all():
                         hit = fits[doc]
-                        of_all = number, rest, doc, term, weight = _kept(number, rest, doc[hit], term[hit], weight[hit], fits)
+                        number, rest, doc, term, weight = _kept(number, rest, doc[hit], term[hit], weight[hit], fits)
+                        block = None
                     if not len(number):
                         break
-                    s = scores(len(number), doc, term, weight, groups, np.bincount(term, minlength=len(vocabulary)))
+                    block = block or Block(len(number), doc, term, weight, len(vocabulary))
+                    s = block.scores(groups)
                     if number.min() <= after.max():
                         s[number[None, :] <= after[:, None]] = 0
                     if rest.max() > room.min():

@@ -142,3 +142,21 @@ def test_windows_take_more_neighbours_than_an_answer_holds(spark, monkeypatch):
     texts = {i: "shared " + " ".join(f"v{i}x{j}" for j in range(9)) for i in range(80)}
     sizes = Counter(r.window_id for r in packing.pack(corpus(spark, texts), 60).collect())
     assert sum(sizes.values()) == 80 and sum(n == 6 for n in sizes.values()) >= 12, sizes
+
+
+@pytest.mark.parametrize("dense", [0, 20, 10**9])
+@pytest.mark.parametrize("postings", [1, 40, 1 << 15])
+def test_a_block_is_made_ready_once_for_all_groups(monkeypatch, dense, postings):
+    """Scores of two groups of seeds over one block, by columns, by postings and by both, however they are cut."""
+    monkeypatch.setattr(packing, "DENSE", dense)
+    monkeypatch.setattr(packing, "POSTINGS", postings, raising=False)
+    rng = np.random.default_rng(5)
+    has = rng.random((30, 50)) < np.linspace(0.01, 0.9, 30)[:, None]
+    term, doc = np.nonzero(has)
+    weight = rng.integers(1, 1 << 25, len(term)).astype(np.float64)
+    held = np.zeros((30, 50))
+    held[term, doc] = weight
+    asks = [rng.random((n, 30)) < 0.4 for n in (7, 4)]
+    block = packing.Block(50, doc, term, weight, 30)
+    for order in (asks, asks[::-1], asks[:1]):
+        assert (block.scores([(len(a), *np.nonzero(a)) for a in order]) == np.concatenate(order) @ held).all()
