@@ -277,10 +277,10 @@ class Best:
         return self.parts[0]
 
 
-def ask(index: DataFrame, unused: np.ndarray, seeds: np.ndarray, left: np.ndarray, asked: list[np.ndarray], idf: np.ndarray) -> list[np.ndarray]:
+def ask(index: DataFrame | pa.RecordBatch, unused: np.ndarray, seeds: np.ndarray, left: np.ndarray, asked: list[np.ndarray], idf: np.ndarray) -> list[np.ndarray]:
     """(seed, number, score, kind) of the unused documents that can follow the seeds (numbers with room for left words and their terms).
 
-    By seed, descending score and number: of each class of length the DEPTH best that score above 0.
+    By seed, descending score and number: of each class of length the DEPTH best that score above 0. index: blocks, or one block that the driver holds.
     """
     bits, total, depth = np.packbits(unused), len(unused), DEPTH
     commonest = np.array([t[np.argmin(idf[t])] if len(t) else -1 for t in asked])
@@ -333,6 +333,8 @@ def ask(index: DataFrame, unused: np.ndarray, seeds: np.ndarray, left: np.ndarra
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in best_of(pa.Table.from_batches(held), depth)], held[0].schema.names)
 
+    if isinstance(index, pa.RecordBatch):
+        return best_of(pa.Table.from_batches(list(run([index]))), depth)
     tasks = 2 * index.sparkSession.sparkContext.defaultParallelism  # each merges the answers of its blocks
     kinds_ = "seed int, number bigint, score bigint, kind int"
     answers = index.coalesce(tasks).mapInArrow(run, kinds_)
@@ -399,11 +401,15 @@ def rounds(placed: DataFrame, index: DataFrame, ids: np.ndarray, rest: np.ndarra
             else:
                 open_.append((members, room, t))
         alive = int(unused.sum())
-        if 0 < alive < 0.6 * rows:
+        if 0 < alive <= ALONE and open_ and not isinstance(held, pa.RecordBatch):  # few are left to ask for: no more passes
+            held, old = _one(_only(held, np.packbits(unused), len(unused)).toArrow()), held
+            if old is not index:
+                release(old)
+        elif 0 < alive < 0.6 * rows and not isinstance(held, pa.RecordBatch):
             held, old, rows = settle(_only(held, np.packbits(unused), len(unused))), held, alive
             if old is not index:
                 release(old)
-    if held is not index:
+    if held is not index and not isinstance(held, pa.RecordBatch):
         release(held)
     numbers = np.flatnonzero(unused)
     if len(numbers):
@@ -443,6 +449,18 @@ def _only(index: DataFrame, bits: np.ndarray, total: int) -> DataFrame:
     return index.mapInArrow(run, index.schema)
 
 
+def _one(blocks: pa.Table) -> pa.RecordBatch:
+    """All blocks as one, in the order that blocked gives; for ALONE documents at most."""
+    parts = [_columns(batch, row) for batch in blocks.to_batches() for row in range(batch.num_rows)]
+    number, rest, doc, term, weight = (np.concatenate(x) for x in zip(*parts))
+    sizes = [len(x[0]) for x in parts]
+    doc = doc + np.repeat(np.cumsum(sizes) - sizes, [len(x[2]) for x in parts])
+    order, by = np.lexsort((number, kinds(rest))), np.argsort(term, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return _row(number[order], rest[order], place[doc[by]], term[by], weight[by])
+
+
 BLOCKED = {"number": np.int64, "rest": np.int64, "doc": np.uint16, "term": np.int32, "weight": np.int32}
 
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import packing
@@ -144,6 +145,19 @@ def test_windows_take_more_neighbours_than_an_answer_holds(spark, monkeypatch):
     assert sum(sizes.values()) == 80 and sum(n == 6 for n in sizes.values()) >= 12, sizes
 
 
+def test_the_last_open_windows_make_no_pass_over_the_index(spark, monkeypatch):
+    """Windows still open when ALONE documents or fewer are unused ask the driver's block of them, with the same windows."""
+    for name, value in {"ALONE": 30, "SEEDS": 7, "PART": 4, "DEPTH": 2}.items():
+        monkeypatch.setattr(packing, name, value)
+    asked, ask = [], packing.ask
+    monkeypatch.setattr(packing, "ask", lambda index, unused, *a: asked.append((int(unused.sum()), isinstance(index, DataFrame))) or ask(index, unused, *a))
+    rng = random.Random(8)
+    texts = {i: "shared " + prose(rng, rng.choice([3, 8, 20, 45]), 60) for i in range(150)}
+    assert windows(packing.pack(corpus(spark, texts).repartition(3), 50)) == brute(texts, dict.fromkeys(texts, 0), 50)
+    last = [passes for alive, passes in asked if 0 < alive <= 30]
+    assert last and not any(last) and all(passes for alive, passes in asked if alive > 30), asked
+
+
 @pytest.mark.parametrize("dense", [0, 20, 10**9])
 @pytest.mark.parametrize("postings", [1, 40, 1 << 15])
 def test_a_block_is_made_ready_once_for_all_groups(monkeypatch, dense, postings):
