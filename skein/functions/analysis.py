@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,88 @@ def tokens(text: Column) -> Column:
     return F.coalesce(cut, F.array().cast("array<string>"))
 
 
+#: By byte of UTF-8: itself in lower case if it is an ASCII letter or digit, else 0.
+_FOLD = np.zeros(256, np.uint8)
+for _c in range(128):
+    _FOLD[_c] = ord(chr(_c).lower()) if chr(_c).isalnum() else 0
+#: Bytes of text that are cut at once, and stems beyond which a task forgets them.
+SLICE, REMEMBERED = 4 << 20, 1 << 17
+
+
+def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes and row offsets of a string array; a null is an empty text."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    if texts.null_count:
+        texts = texts.fill_null("")
+    big = pa.types.is_large_string(texts.type)
+    _, off, data = texts.buffers()
+    off = np.frombuffer(off, np.int64 if big else np.int32, len(texts) + 1, texts.offset * (8 if big else 4)).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[off[0] : off[-1]], off - off[0]
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE):
+    """A batch in pieces of about most bytes of text; a longer text is a piece of its own."""
+    off, at = buffer(batch.column("text"))[1], 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _ends(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, off): lower-cased bytes of all texts, 0 between tokens, where each token begins and ends, and each text."""
+    raw, off = buffer(texts)
+    folded = _FOLD[raw]
+    word = folded != 0
+    start, end = word.copy(), word.copy()
+    start[1:] &= ~word[:-1]
+    end[:-1] &= ~word[1:]
+    at = off[:-1][off[:-1] < len(raw)]
+    start[at] = word[at]
+    at = off[1:][off[1:] > 0] - 1
+    end[at] = word[at]
+    return folded, np.flatnonzero(start), np.flatnonzero(end) + 1, off
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(tokens, first): what tokens() gives for all texts, one after the other, and where those of each text begin, and the end."""
+    folded, start, end, off = _ends(texts)
+    at = np.concatenate([[0], np.cumsum(end - start)])
+    data = pa.py_buffer(folded[folded != 0])
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at.astype(np.int64)), data), np.searchsorted(start, off)
+
+
+@F.arrow_udf(T.IntegerType())
+def n_tokens(texts: pa.Array) -> pa.Array:
+    """How many tokens each text has."""
+    rows = pa.RecordBatch.from_arrays([texts], ["text"])
+    counts = [np.diff(np.searchsorted(start, off)) for _, start, _, off in (_ends(part.column("text")) for part in slices(rows))]
+    return pa.array(np.concatenate(counts) if counts else np.zeros(0), pa.int32())
+
+
+def coded(texts: pa.Array, stemmed: dict[str, str] | None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(code, terms, first): the terms of all texts one after the other as numbers of distinct terms, and where those of each text begin, and the end.
+
+    stemmed: stems by token, kept from call to call; None leaves the tokens as they are.
+    """
+    flat, first = cut(texts)
+    flat = flat.dictionary_encode()
+    code, terms = flat.indices.to_numpy(), flat.dictionary.cast(pa.string())
+    if stemmed is not None:
+        if len(stemmed) > REMEMBERED:
+            stemmed.clear()
+        made = []
+        for token in terms.to_pylist():
+            if (known := stemmed.get(token)) is None:
+                known = stemmed[token] = stem(token)
+            made.append(known)
+        found = pa.array(made, pa.string()).dictionary_encode()
+        code, terms = found.indices.to_numpy()[code], found.dictionary
+    return code, terms, first
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def stems(lists: pa.Array) -> pa.Array:
     """Each token of each list stemmed; a batch stems its distinct tokens once."""

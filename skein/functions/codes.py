@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +16,24 @@ def gamma_bits(n: Column) -> Column:
     return 2 * (_digits(n) - 1) + 1
 
 
+def digits(n: np.ndarray) -> np.ndarray:
+    """Binary digits of n + 1, as in the codes, of whole numbers outside Spark; a negative one has 64."""
+    x = (n.astype(np.int64) + 1).view(np.uint64)
+    high = x >> np.uint64(32)
+    low = np.frexp((x & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]  # exact: halves of 32 bits
+    return np.maximum(1, np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], low)).astype(np.int64)
+
+
+def gamma_sizes(n: np.ndarray) -> np.ndarray:
+    """gamma_bits outside Spark."""
+    return 2 * digits(n) - 1
+
+
+def vbyte_sizes(n: np.ndarray) -> np.ndarray:
+    """vbyte_bits outside Spark."""
+    return 8 * -(-digits(n) // 7)
+
+
 def vbyte_bits(n: Column) -> Column:
     """Bits of the variable-byte code of n + 1, seven to the byte."""
     return (8 * F.ceil(_digits(n) / 7)).cast("int")

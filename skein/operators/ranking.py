@@ -42,10 +42,10 @@ def resolved(terms: DataFrame) -> tuple[DataFrame, list[str] | None]:
 def matches(terms: DataFrame, index: Index) -> DataFrame:
     """(query_id, doc_id, n_tokens, length, bm, occurrences) of every document that holds a token of the query.
 
-    The terms of a few queries are known before the postings are read, so that the scan skips all others (In(term, ...)).
+    The terms of a few queries are known before the postings are read, so that no others are read or made (see postings_of).
     """
     terms, looked_up = resolved(terms)
-    postings = index.postings if looked_up is None else index.postings.where(F.col("term").isin(looked_up))
+    postings = index.postings if looked_up is None else index.postings_of(looked_up)
     weighed = terms.join(index.vocab.select("term", "df"), "term").crossJoin(F.broadcast(index.stats))  # one row
     weighed = weighed.select("query_id", "i", "term", "n_tokens", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
     hit = postings.join(weighed, "term").join(index.docs.select("doc_id", "length"), "doc_id")

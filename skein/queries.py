@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.analysis import Analyzer, snippet, tokens
 from .functions.codes import gamma_bits, gamma_code, gamma_value, text_code, text_value, vbyte_bits, vbyte_code, vbyte_value
 from .functions.scoring import bm25, idf
-from .operators import boolean, index, ranking, spelling
+from .operators import boolean, index, inversion, ranking, spelling
 from .plans.engine import Engine
 from .sources.ingest import from_table
-from .sources.tables import load, shared_dir
+from .sources.tables import load, settle, shared_dir
 
 PLAIN = Analyzer(stem=False)
 MAX_P, MIN_F, K = 0.5, 1, 10
@@ -26,18 +26,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def _index(spark: SparkSession, sf_dir: str, analyzer: Analyzer = PLAIN) -> index.Index:
+def _index(spark: SparkSession, sf_dir: str, analyzer: Analyzer = PLAIN) -> index.Built:
     return index.build(_docs(spark, sf_dir), analyzer)
 
 
-def _stored(spark: SparkSession, sf_dir: str, analyzer: Analyzer = PLAIN) -> index.Index:
-    """The index written and read back, so that the corpus is cut into terms once however many of its tables a query reads."""
-    return index.store(_docs(spark, sf_dir), shared_dir(spark), analyzer)
+def _served(spark: SparkSession, sf_dir: str, analyzer: Analyzer = PLAIN) -> index.Built:
+    """The index of a query that reads several of its tables: the small ones written and read back, postings of the query's terms alone."""
+    return _index(spark, sf_dir, analyzer).served()
 
 
 def _few(spark: SparkSession, sf_dir: str, words: list[str]) -> DataFrame:
-    """Postings of some terms only, inverted after the filter."""
-    return index.postings(PLAIN.positions(_docs(spark, sf_dir)).where(F.col("term").isin(words)))
+    """Postings of some terms only."""
+    return _index(spark, sf_dir).postings_of(words)
 
 
 def _terms(spark: SparkSession, rows: dict[int, str]) -> DataFrame:
@@ -61,11 +61,11 @@ def inverted_index(spark, sf_dir):
 
 
 def doc_frequency(spark, sf_dir):
-    return _index(spark, sf_dir).vocab.select("term", "df")
+    return _index(spark, sf_dir).frequencies.select("term", "df")
 
 
 def vocab_pruned(spark, sf_dir):
-    return index.build(_docs(spark, sf_dir), PLAIN, MAX_P, MIN_F).vocab.select("term", "df")
+    return index.build(_docs(spark, sf_dir), PLAIN, MAX_P, MIN_F).frequencies.select("term", "df")
 
 
 def term_ids(spark, sf_dir):
@@ -73,25 +73,25 @@ def term_ids(spark, sf_dir):
 
 
 def postings_gaps(spark, sf_dir):
-    return index.doc_gaps(_index(spark, sf_dir).postings)
+    return inversion.doc_gaps(_index(spark, sf_dir).lists("docs"))
 
 
 def gamma_code_bits(spark, sf_dir):
-    gaps = index.doc_gaps(_index(spark, sf_dir).postings)
-    return gaps.groupBy("term").agg(F.sum(gamma_bits(F.col("gap"))).alias("bits"))
+    return inversion.gap_bits(_index(spark, sf_dir).lists("docs", "rest")).select("term", "bits")
 
 
 def vbyte_code_bits(spark, sf_dir):
-    return _index(spark, sf_dir).vocab.select("term", vbyte_bits(F.col("df")).alias("bits"))
+    return _index(spark, sf_dir).frequencies.select("term", vbyte_bits(F.col("df")).alias("bits"))
 
 
 def term_offsets(spark, sf_dir):
-    bits = index.list_bits(_index(spark, sf_dir).postings)
-    return index.running(bits, "term", F.col("bits"), "bit_offset").select("term", "bits", "bit_offset")
+    """Length of each bit-packed list and where it begins: vbyte count, and by posting gamma gap, gamma tf, vbyte count and gamma position gaps."""
+    bits = inversion.gap_bits(_index(spark, sf_dir).lists("docs", "rest")).select("term", (F.col("bits") + F.col("rest") + vbyte_bits(F.col("n"))).alias("bits"))
+    return index.running(settle(bits), "term", F.col("bits"), "bit_offset").select("term", "bits", "bit_offset")
 
 
 def front_coding(spark, sf_dir):
-    return index.front_coded(_index(spark, sf_dir).vocab)
+    return index.front_coded(settle(_index(spark, sf_dir).frequencies))
 
 
 def _boolean(query: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -118,30 +118,32 @@ def trigram_index(spark, sf_dir):
 
 def edit_distance(spark, sf_dir):
     words = spark.createDataFrame([(w,) for w in MISSPELLED], "word string")
-    vocabulary = _index(spark, sf_dir).vocab.select("term")
+    vocabulary = _index(spark, sf_dir).frequencies.select("term")
     return vocabulary.crossJoin(F.broadcast(words)).select("word", "term", F.levenshtein("word", "term").alias("distance"))
 
 
 def spell_correct(spark, sf_dir):
-    made = _stored(spark, sf_dir)
+    made = _index(spark, sf_dir).served(docs=False)
     return spelling.correct(spark.createDataFrame([(w,) for w in MISSPELLED], "word string"), made.vocab, made.trigrams)
 
 
 def idf_weights(spark, sf_dir):
     made = _index(spark, sf_dir)
-    return made.vocab.crossJoin(F.broadcast(made.stats)).select("term", "df", F.round(idf(F.col("n"), F.col("df")), 9).alias("idf"))
+    return made.frequencies.crossJoin(F.broadcast(made.stats)).select("term", "df", F.round(idf(F.col("n"), F.col("df")), 9).alias("idf"))
 
 
 def bm25_scores(spark, sf_dir):
     """BM25 of every posting of the corpus."""
-    made = _stored(spark, sf_dir)
-    both = made.postings.join(made.vocab, "term").join(made.docs, "doc_id").crossJoin(F.broadcast(made.stats))
+    made = _index(spark, sf_dir)
+    counted = made.lists("docs", "tfs", "lengths").withColumn("df", F.sum("n").over(Window.partitionBy("term")))
+    each = F.arrays_zip(F.col("docs").alias("doc_id"), F.col("tfs").alias("tf"), F.col("lengths").alias("length"))
+    both = counted.select("term", "df", F.inline(each)).crossJoin(F.broadcast(made.stats))
     weight = bm25(idf(F.col("n"), F.col("df")), F.col("tf"), F.col("length"), F.col("avgdl"))
     return both.select("term", "doc_id", F.round(weight, 6).alias("bm25"))
 
 
 def _found(spark, sf_dir):
-    made = _stored(spark, sf_dir)
+    made = _served(spark, sf_dir)
     return ranking.scored(ranking.matches(ranking.query_terms(_terms(spark, {0: QUERY}), made, spell=False), made))
 
 
@@ -150,17 +152,17 @@ def min_window(spark, sf_dir):
 
 
 def free_query_topk(spark, sf_dir):
-    found = ranking.free_query(QUERY, _stored(spark, sf_dir), K)
+    found = ranking.free_query(QUERY, _served(spark, sf_dir), K)
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
 def free_query_batch(spark, sf_dir):
-    best = ranking.free_query_batch(_terms(spark, BATCH), _stored(spark, sf_dir), K)
+    best = ranking.free_query_batch(_terms(spark, BATCH), _served(spark, sf_dir), K)
     return best.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def free_query_stemmed(spark, sf_dir):
-    best = ranking.free_query_batch(_terms(spark, BATCH), _stored(spark, sf_dir, Analyzer()), K)
+    best = ranking.free_query_batch(_terms(spark, BATCH), _served(spark, sf_dir, Analyzer()), K)
     return best.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -218,7 +220,7 @@ def _engine_base(spark, sf_dir) -> str:
 
 def code_round_trip(spark, sf_dir):
     """Frequencies and terms through their bit codes and back."""
-    coded = _index(spark, sf_dir).vocab.select("term", gamma_code(F.col("df")).alias("gamma"), vbyte_code(F.col("df")).alias("vbyte"), text_code(F.col("term")).alias("text"))
+    coded = _index(spark, sf_dir).frequencies.select("term", gamma_code(F.col("df")).alias("gamma"), vbyte_code(F.col("df")).alias("vbyte"), text_code(F.col("term")).alias("text"))
     return coded.select(
         "term", F.length("gamma").alias("gamma_bits"), F.length("vbyte").alias("vbyte_bits"), F.length("text").alias("text_bits"),
         gamma_value(F.col("gamma")).alias("from_gamma"), vbyte_value(F.col("vbyte")).alias("from_vbyte"), text_value(F.col("text")).alias("from_text"),

@@ -21,9 +21,12 @@ SCHEMAS = {
 
 
 def save(name: str, df: DataFrame, base: str) -> DataFrame:
-    """One table as Parquet under base, read back; postings, trigrams and vocabulary by range of their key, so that row groups of other keys are skipped."""
+    """One table as Parquet under base, read back; postings, trigrams and vocabulary sorted by their key, so that pages of other keys are skipped.
+
+    Trigrams and vocabulary lie by range of the key; postings by its hash, for ranges would take a second look at the texts.
+    """
     if name == "postings":
-        df = df.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+        df = df.repartition("term").sortWithinPartitions("term", "doc_id")
     elif name == "trigrams":
         df = df.repartitionByRange("trigram").sortWithinPartitions("trigram", "term")
     elif name == "vocab":
@@ -32,6 +35,13 @@ def save(name: str, df: DataFrame, base: str) -> DataFrame:
     return df.sparkSession.read.schema(SCHEMAS[name]).parquet(f"{base}/{name}")
 
 
+def settle(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df written as Parquet and read back, in a new shared folder if no other is said, so that its plan runs once however often it is read."""
+    path = path or shared_dir(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(schema).parquet(f"{base}/{name}") for name, schema in SCHEMAS.items()}
 
