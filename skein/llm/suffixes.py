@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +13,9 @@ from .repeats import GRAM, marks, spans
 from .store import corpus, settle
 from .text import Words, _classify, buffer, gram_hash, gram_sums, grams, signed, slide, slices, winnow, words
 
+#: Places of one gram up to which all of them are sorted together; slots in which its suffixes are counted if there are more.
+HOT, SLOTS = 1 << 13, 1 << 25
+
 
 def _normal(raw: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
     """The folded words with one blank after each, and where each begins there."""
@@ -152,11 +158,9 @@ def _classes(sorted_x: np.ndarray, new: np.ndarray, ids: np.ndarray, least: int)
     return order, label
 
 
-def pieces(table: pa.Table, least: int) -> pa.RecordBatch:
-    """Repeated runs (doc_id, s, e, is_first) among the stretches of some grams, all places of which are in the table."""
-    text = table.column("words").combine_chunks()
-    w, (raw, _) = words(text), buffer(text)
-    ids = _strings(raw, w.start, w.end).dictionary_encode().indices.to_numpy()
+def _places(table, least: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(w, row, x, start, order): the words of some stretches; of each suffix its stretch, first word there and in the document; and each place once, by gram, distance to it, document and start."""
+    w = words(table.column("words"))
     h, doc, at, s = (table.column(c).to_numpy() for c in ("h", "doc_id", "at", "s"))
     n = np.maximum(w.counts() - least + 1, 0)
     row = np.repeat(np.arange(len(n)), n)
@@ -166,6 +170,26 @@ def pieces(table: pa.Table, least: int) -> pa.RecordBatch:
     # the same place twice, from repeated rows, is one place
     key = np.stack([h[row], doc[row], start])[:, order]
     order = order[np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])] if len(order) else order
+    return w, row, x, start, order
+
+
+def _runs(doc: np.ndarray, row: np.ndarray, start: np.ndarray, head: np.ndarray, least: int) -> pa.RecordBatch:
+    """(doc_id, s, e, is_first) of repeated suffixes by stretch and start: those that follow one another are one run."""
+    cut = np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (head[1:] != head[:-1])]) if len(row) else np.zeros(0, bool)
+    lo = np.flatnonzero(cut)
+    hi = np.append(lo[1:], len(row)) - 1 if len(lo) else lo
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc[lo], pa.int64()), pa.array(start[lo], pa.int32()), pa.array(start[hi] + least, pa.int32()), pa.array(head[lo], pa.bool_())], ["doc_id", "s", "e", "is_first"]
+    )
+
+
+def pieces(table: pa.Table, least: int) -> pa.RecordBatch:
+    """Repeated runs (doc_id, s, e, is_first) among the stretches of some grams, all places of which are in the table."""
+    table = table.combine_chunks()
+    w, row, x, start, order = _places(table, least)
+    (raw, _), doc = buffer(table.column("words")), table.column("doc_id").to_numpy()
+    ids = _strings(raw, w.start, w.end).dictionary_encode().indices.to_numpy()
+    h, at = (table.column(c).to_numpy() for c in ("h", "at"))
     group = np.stack([h[row], at[row] - start])[:, order]
     first = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(0)])) if len(order) else order
     suffixes = Suffixes(w.hash, least)
@@ -181,13 +205,116 @@ def pieces(table: pa.Table, least: int) -> pa.RecordBatch:
     found, head = found[many], head[many]
     o = np.argsort(found, kind="stable")  # by stretch and start
     found, head = found[o], head[o]
-    r, t = row[found], start[found]
-    cut = np.concatenate([[True], (r[1:] != r[:-1]) | (t[1:] != t[:-1] + 1) | (head[1:] != head[:-1])]) if len(r) else np.zeros(0, bool)
-    lo = np.flatnonzero(cut)
-    hi = np.append(lo[1:], len(r)) - 1 if len(lo) else lo
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[r[lo]], pa.int64()), pa.array(t[lo], pa.int32()), pa.array(t[hi] + least, pa.int32()), pa.array(head[lo], pa.bool_())], ["doc_id", "s", "e", "is_first"]
-    )
+    return _runs(doc[row[found]], row[found], start[found], head, least)
+
+
+class Many:
+    """The stretches of one gram that has more than HOT places, which come by document: kept in a file of the task's machine.
+
+    Three passes hold some thousand places each. The first counts suffixes by the hash of their words, so that most of
+    those without an equal are left out; the second gives the others classes by a 128-bit digest of their words and finds
+    the least place of each class; the third makes the runs. In memory are the counts and, by class, a digest and a place.
+    """
+
+    def __init__(self, least: int):
+        self.least, self.dir, self.rest = least, tempfile.TemporaryDirectory(), []
+        self.path, self.writer = f"{self.dir.name}/places", None
+
+    def add(self, batch: pa.RecordBatch, end: bool = False) -> None:
+        """Keep a batch; what is written at once ends with a document."""
+        doc = batch.column("doc_id").to_numpy()
+        self.rest.append(batch)
+        at = batch.num_rows if end else int(np.searchsorted(doc, doc[-1])) if len(doc) else 0
+        if not end and not at:
+            if not len(doc) or self.rest[0].column("doc_id")[0].as_py() == doc[-1]:
+                return
+        self.rest[-1] = batch.slice(0, at)
+        table = pa.Table.from_batches(self.rest).combine_chunks()
+        self.writer = self.writer or pa.ipc.new_stream(self.path, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4"))
+        for b in table.to_batches():
+            self.writer.write_batch(b)
+        self.rest = [batch.slice(at)]
+
+    def _chunks(self):
+        with pa.OSFile(self.path) as file, pa.ipc.open_stream(file) as reader:
+            for batch in reader:
+                w, row, x, start, order = _places(batch, self.least)
+                order = np.sort(order)  # by stretch and start
+                x = x[order]
+                yield batch, w, row[order], x, start[order], Suffixes(w.hash, self.least).whole[x]
+
+    def pieces(self):
+        self.writer.close()
+        count, mask = np.zeros(SLOTS, np.uint8), np.uint64(SLOTS - 1)
+        for *_, whole in self._chunks():
+            slot, n = np.unique(whole & mask, return_counts=True)
+            count[slot] = np.minimum(2, count[slot] + np.minimum(2, n))
+        known: dict[bytes, int] = {}
+        size, doc_of, start_of = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        chunks = 0
+        with open(f"{self.dir.name}/classes", "wb") as file:
+            for batch, w, row, x, start, whole in self._chunks():
+                twice = count[whole & mask] > 1
+                row, x, start = row[twice], x[twice], start[twice]
+                text, doc = batch.column("words"), batch.column("doc_id").to_numpy()[row]
+                raw, code = buffer(text)[0], text.dictionary_encode().indices.to_numpy().astype(np.int64)
+                _, one, same = np.unique((code[row] << 32) | (x - w.first[row]), return_index=True, return_inverse=True)  # equal stretches are looked at once
+                name = [hashlib.blake2b(raw[a:z], digest_size=16).digest() for a, z in zip(w.start[x[one]], w.end[x[one] + self.least - 1])]
+                label = np.fromiter((known.setdefault(d, len(known)) for d in name), np.int64, len(name))[same]
+                more = len(known) - len(size)
+                size, start_of = (np.append(v, np.zeros(more, np.int64)) for v in (size, start_of))
+                doc_of = np.append(doc_of, np.full(more, np.iinfo(np.int64).max))
+                o = np.lexsort((start, doc, label))
+                o = o[np.concatenate([[True], label[o][1:] != label[o][:-1]])] if len(o) else o
+                c, d, t = label[o], doc[o], start[o].astype(np.int64)
+                less = (size[c] == 0) | (d < doc_of[c]) | ((d == doc_of[c]) & (t < start_of[c]))
+                doc_of[c[less]], start_of[c[less]] = d[less], t[less]
+                size += np.bincount(label, minlength=len(size))
+                for v in (doc, row, start, label):
+                    np.save(file, v)
+                chunks += 1
+        known.clear()
+        with open(f"{self.dir.name}/classes", "rb") as file:
+            for _ in range(chunks):
+                doc, row, start, label = (np.load(file) for _ in range(4))
+                many = size[label] > 1
+                doc, row, start, label = doc[many], row[many], start[many], label[many]
+                yield _runs(doc, row, start, (doc == doc_of[label]) & (start == start_of[label]), self.least)
+        self.dir.cleanup()
+
+
+def sorted_pieces(batches, least: int):
+    """The pieces of stretches sorted by h and doc_id. A gram's places are sorted together up to HOT of them; more go through Many."""
+    held: list[pa.RecordBatch] = []
+    many = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h = batch.column("h").to_numpy()
+        if many or held:
+            own = many_h if many else held[0].column("h")[0].as_py()
+            if own == h[-1]:  # one gram all through
+                if many is None and sum(b.num_rows for b in held) + batch.num_rows > HOT:
+                    many, many_h = Many(least), own
+                    for b in held:
+                        many.add(b)
+                    held = []
+                many.add(batch) if many else held.append(batch)
+                continue
+        if many:
+            to = int(np.searchsorted(h, many_h, "right"))
+            many.add(batch.slice(0, to), end=True)
+            yield from many.pieces()
+            many, batch, h = None, batch.slice(to), h[to:]
+        last = int(np.searchsorted(h, h[-1]))
+        if held or last:
+            yield pieces(pa.Table.from_batches([*held, batch.slice(0, last)]), least)
+        held = [batch.slice(last)]
+    if many:
+        many.add(many.rest[0].slice(0, 0), end=True)
+        yield from many.pieces()
+    if held:
+        yield pieces(pa.Table.from_batches(held), least)
 
 
 def repeated_spans(docs: DataFrame, least: int = 50) -> DataFrame:
@@ -196,7 +323,8 @@ def repeated_spans(docs: DataFrame, least: int = 50) -> DataFrame:
     See repeats for the relation. The suffixes that can begin a repeated run are spread by the hash of the least gram
     of their first `least` words and sorted there by mergesort; two are compared at the word after their common
     extension, which a binary search over prefix polynomial hashes finds. Neighbours that agree in `least` words by
-    hash are compared word by word, and a class of equal hashes is split where words differ.
+    hash are compared word by word, and a class of equal hashes is split where words differ. The suffixes of a gram with
+    more than HOT places are classed by digests instead, chunk by chunk, so that no task holds all of them (see Many).
 
     Documents under `least` words (null and empty ones too) have no row. Rows without doc_id take no part. Repeated
     rows of one doc_id count once; other texts under one doc_id count as further places of that document, and the same
@@ -206,20 +334,7 @@ def repeated_spans(docs: DataFrame, least: int = 50) -> DataFrame:
     texts = corpus(docs)
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h = batch.column("h").to_numpy()
-            if held and held[0].column("h")[0].as_py() == h[-1]:  # one gram all through
-                held.append(batch)
-                continue
-            last = int(np.searchsorted(h, h[-1]))
-            if held or last:
-                yield pieces(pa.Table.from_batches([*held, batch.slice(0, last)]), least)
-            held = [batch.slice(last)]
-        if held:
-            yield pieces(pa.Table.from_batches(held), least)
-
-    spread = stretches(texts, marks(texts, least), least).repartition("h").sortWithinPartitions("h")
+        yield from sorted_pieces(batches, least)
+
+    spread = stretches(texts, marks(texts, least), least).repartition("h").sortWithinPartitions("h", "doc_id")
     return spans(settle(spread.mapInArrow(run, "doc_id bigint, s int, e int, is_first boolean")))

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skein.llm import debruijn, queries, repeats, suffixes
@@ -106,3 +108,46 @@ def test_every_run_holds_a_marked_gram():
     want = [s for s in range(91) if any(s <= p and p + k <= s + 50 for p in at)]
     assert found.tolist() == want
     assert gram_sums(np.zeros(0, np.uint64)).tolist() == [0]
+
+
+def crowd(n):
+    """Stretches of one gram at n places, by document: every third is another text around it, all others have 80 copies each."""
+    passage = [f"p{i}" for i in range(20)]
+    for doc in range(n):
+        k = f"own{doc}" if doc % 3 == 0 else doc // 120
+        text = [f"x{k}y{j}" for j in range(46)]
+        yield 7, doc, 23, 3, " ".join(text[:20] + passage + text[20:])
+
+
+def tabled(rows):
+    h, doc, at, s, text = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(s, pa.int32()), pa.array(text)], ["h", "doc_id", "at", "s", "words"])
+
+
+def found(batches):
+    return sorted(tuple(r.values()) for b in batches for r in b.to_pylist())
+
+
+@pytest.mark.parametrize("step", [1, 7, 100, 1000])
+def test_a_gram_of_many_places_is_classed_by_chunks(monkeypatch, step):
+    """Between two other grams, with repeated rows and a document of several stretches."""
+    rows = list(crowd(300))
+    rows = [(1, d, a, s, t) for _, d, a, s, t in rows[:9]] + sorted([*rows, *rows[4:60:5], *((7, d, 99, 79, t) for _, d, _, _, t in rows[10:50])], key=lambda r: r[1]) + [(9, *r[1:]) for r in rows[:9]]
+    want = found([suffixes.pieces(pa.Table.from_batches([tabled(own)]), 50) for own in ([r for r in rows if r[0] == h] for h in (1, 7, 9))])
+    assert len(want) > 100
+    monkeypatch.setattr(suffixes, "HOT", 20)
+    monkeypatch.setattr(suffixes, "SLOTS", 1 << 10)
+    assert found(suffixes.sorted_pieces([tabled(rows[i : i + step]) for i in range(0, len(rows), step)], 50)) == want
+    hot = rows[9:-9]
+    assert found(suffixes.sorted_pieces([tabled(hot[i : i + step]) for i in range(0, len(hot), step)], 50)) == found([suffixes.pieces(pa.Table.from_batches([tabled(hot)]), 50)])
+
+
+def test_the_places_of_one_gram_are_not_held_together():
+    """Arrays of some thousand places at a time: before, 30,000 took over 400 MB."""
+    rows = list(crowd(30_000))
+    batches = [tabled(rows[i : i + 5000]) for i in range(0, 30_000, 5000)]
+    tracemalloc.start()
+    n = sum(b.num_rows for b in suffixes.sorted_pieces(batches, 50))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 20_000 and peak < 250e6
